@@ -1,4 +1,157 @@
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Statements of the SQL layer over the test tables' lines, each over all lines, and their SQL for DuckDB.
+
+Columns of lines are read as they were written; numeric tables are first rendered as lines, so that every statement takes the whole way from
+the definition of a table over its extraction to the result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.operators.lines import read_table, without_cr
+from logloom.plans import tree
+from logloom.plans.grammar import parse
+from logloom.plans.planner import needs_order, plan
+
+CONNECTIONS = """CREATE TABLE connections(
+    line = 'connection from ([0-9.]+) \\\\((.+)?\\\\) at ([a-zA-Z]+) ([a-zA-Z]+) ([0-9]+) ([0-9]+):([0-9]+):([0-9]+) ([0-9]+)',
+    line[1] => ip TEXT, line[2] => hostname TEXT, line[9] => year INT, line[4] => month TEXT,
+    line[5] => day INT, line[6] => hour INT, line[7] => minute INT, line[8] => second INT);"""
+CONNECTIONS_DEFAULT = CONNECTIONS.replace("hostname TEXT", "hostname TEXT DEFAULT 'unknown'")
+CONNECTIONS_TIMED = CONNECTIONS[: CONNECTIONS.index("line[9]")] + "line[9], line[4], line[5], line[6], line[7], line[8] => timestamp TIMESTAMP);"
+CONNECTIONS_ARRAY = CONNECTIONS_TIMED.replace("TIMESTAMP", "TEXT[]")
+CONNECTIONS_SPLIT = """CREATE TABLE connections(
+    line = split ';',
+    line[1] => ip TEXT, line[2] => hostname TEXT, line[3] => year INT NOT NULL, line[4] => month TEXT,
+    line[5] => day INT, line[6] => hour INT, line[7] => minute INT, line[8] => second INT);"""
+SSH = r"CREATE TABLE ssh(line = 'rhost=([a-zA-Z0-9_\\.\\-]+)\\s+user=(\\w+)', line[1] => hostname TEXT, line[2] => username TEXT);"
+CLIENTS = """CREATE TABLE clients({ .timestamp } => timestamp INT, { .metadata.device_id } => device_id INT CONVERT,
+    { .metadata.mac_address } => mac_address TEXT, { .events } => events TEXT[]);"""
+DUMMY = r"""CREATE TABLE dummy1(line = 'hostname: (.*), min: (\\d+)', line[1] => hostname TEXT, line[2] => min INT);
+CREATE TABLE dummy2(line = 'hostname: (.*), max: (\\d+)', line[1] => hostname TEXT, line[2] => max INT);"""
+LINEITEM = """CREATE TABLE lineitem(line = split ';', line[1] => orderkey INT NOT NULL, line[2] => linenumber INT, line[3] => quantity REAL,
+    line[4] => discount REAL, line[5] => flag TEXT, line[6] => status TEXT TRIM);"""
+EVENTS = r"""CREATE TABLE events(p = '^(\\d+) (\\d+)-(\\d+)-(\\d+)T(\\d+):(\\d+):(\\d+) user=(\\d+) (\\w+)( big)?(?: k=(\\d*))?$',
+    p[1] => id INT, p[2], p[3], p[4], p[5], p[6], p[7] => at TIMESTAMP, p[8] => user_id INT, p[9] => kind TEXT, p[10] => big BOOLEAN, p[11] => k INT, p[11] => ktext TEXT);"""
+PROPS = "CREATE TABLE props({ .k } => k INT);"
+ORDERS = """CREATE TABLE orders(o = split ';', o[1] => orderkey INT NOT NULL, o[2] => custkey INT, o[3] => status TEXT);
+CREATE TABLE customer(c = split ';', c[1] => custkey INT NOT NULL, c[2] => segment TEXT);"""
+EMBEDDINGS = "CREATE TABLE embeddings({ .id } => id INT, { .v } => v REAL[], { .v[0] } => first REAL);"
+
+
+def _of_kind(kind: str):
+    def lines(spark: SparkSession, d: str) -> DataFrame:
+        files = read_table(spark, d, "log_files").where(F.col("kind") == kind).select("file_id")
+        return read_table(spark, d, "connections").select("file_id", "line", "conn_id").join(files, "file_id").select(without_cr(F.col("line")).alias("value"), F.struct("conn_id").alias("_order"))
+
+    return lines
+
+
+def _column(table: str, key: str):
+    def lines(spark: SparkSession, d: str) -> DataFrame:
+        return read_table(spark, d, table).select(without_cr(F.col("line")).alias("value"), F.struct(key).alias("_order"))
+
+    return lines
+
+
+def _rendered(table: str, expression: str, key: str):
+    def lines(spark: SparkSession, d: str) -> DataFrame:
+        return read_table(spark, d, table).select(F.expr(expression).alias("value"), F.expr(f"struct({key})").alias("_order"))
+
+    return lines
+
+
+_LINES = {
+    "log": _of_kind("log"),
+    "split": _of_kind("split"),
+    "ssh": _column("ssh", "ssh_id"),
+    "clients": _column("clients", "row_id"),
+    "dummy1": _column("dummy1", "line"),
+    "dummy2": _column("dummy2", "line"),
+    "lineitem": _rendered("lineitem", "concat_ws(';', l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, concat(' ', l_linestatus, ' '))", "l_orderkey, l_linenumber"),
+    "events": _rendered("events", "concat(event_id, ' ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), ' user=', user_id, ' ', event_type, if(value > 50, ' big', ''), if(event_id % 3 = 0, '', concat(' k=', if(event_id % 3 = 1, '', cast(get_json_object(props, '$.k') as string)))))", "event_id"),
+    "props": _rendered("events", "props", "event_id"),
+    "orders": _rendered("orders", "concat_ws(';', o_orderkey, if(o_orderkey % 7 = 0, '', cast(o_custkey as string)), o_orderstatus)", "o_orderkey"),
+    "customer": _rendered("customer", "concat_ws(';', c_custkey, c_mktsegment)", "c_custkey"),
+    "embeddings": _rendered("embeddings", "to_json(named_struct('id', vec_id, 'v', transform(embedding, x -> cast(x as double))))", "vec_id"),
+}
+
+_SPLIT_SQL = "FROM connections JOIN log_files USING (file_id) WHERE kind = 'split' AND \"year\" IS NOT NULL"
+_LOG_SQL = "FROM connections JOIN log_files USING (file_id) WHERE kind = 'log' AND ip IS NOT NULL"
+_TIME_SQL = "make_timestamp(\"year\", list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(left(\"month\", 3))), \"day\", \"hour\", \"minute\", \"second\"::DOUBLE)"
+_K = "CASE WHEN event_id % 3 = 2 THEN try_cast(props->>'k' AS BIGINT) END"
+
+#: name -> (definitions, lines, statement, SQL)
+STATEMENTS: dict[str, tuple[str, str, str, str]] = {
+    "log_project": (CONNECTIONS, "log", "SELECT ip, hostname FROM connections WHERE hostname IS NOT NULL", f"SELECT ip, hostname {_LOG_SQL} AND hostname IS NOT NULL"),
+    "log_all_columns": (CONNECTIONS, "log", "SELECT * FROM connections", f'SELECT ip, hostname, "year", "month", "day", "hour", "minute", "second" {_LOG_SQL}'),
+    "log_filter": (CONNECTIONS, "log", "SELECT ip, hostname, year, month, day, hour, minute, second FROM connections WHERE day >= 5", f'SELECT ip, hostname, "year", "month", "day", "hour", "minute", "second" {_LOG_SQL} AND "day" >= 5'),
+    "log_aggregate": (CONNECTIONS, "log", "SELECT hour, COUNT(*) AS n, MAX(minute) AS last FROM connections WHERE day >= 5 GROUP BY hour", f'SELECT "hour", count(*) n, max("minute") "last" {_LOG_SQL} AND "day" >= 5 GROUP BY "hour"'),
+    "log_having": (CONNECTIONS, "log", "SELECT hostname, COUNT() AS n FROM connections HAVING COUNT() > 22 AND hostname IS NOT NULL GROUP BY hostname", f"SELECT hostname, count(*) n {_LOG_SQL} AND hostname IS NOT NULL GROUP BY hostname HAVING count(*) > 22"),
+    "log_count_column": (CONNECTIONS, "log", "SELECT day, COUNT(hostname) AS n FROM connections GROUP BY day", f'SELECT "day", count(hostname) n {_LOG_SQL} GROUP BY "day" HAVING count(hostname) > 0'),
+    "log_count_distinct": (CONNECTIONS, "log", "SELECT day, COUNT(DISTINCT ip) AS n FROM connections GROUP BY day", f'SELECT "day", count(DISTINCT ip) n {_LOG_SQL} GROUP BY "day"'),
+    "log_distinct": (CONNECTIONS, "log", "SELECT DISTINCT hostname FROM connections", f"SELECT DISTINCT hostname {_LOG_SQL}"),
+    "log_default": (CONNECTIONS_DEFAULT, "log", "SELECT hostname, COUNT(*) AS n FROM connections GROUP BY hostname", "SELECT coalesce(hostname, 'unknown') hostname, count(*) n FROM connections JOIN log_files USING (file_id) WHERE kind = 'log' GROUP BY ALL"),
+    "log_hosts_by_pattern": (CONNECTIONS, "log", "SELECT ip, hostname FROM connections WHERE regexp_matches(hostname, '\\\\.example$')", f"SELECT ip, hostname {_LOG_SQL} AND regexp_matches(hostname, '\\.example$')"),
+    "log_timestamp": (CONNECTIONS_TIMED, "log", "SELECT date_trunc('hour', timestamp) AS hour, COUNT(*) AS n, MIN(timestamp) AS first, MAX(timestamp) AS last FROM connections GROUP BY date_trunc('hour', timestamp)", f"SELECT date_trunc('hour', t) \"hour\", count(*) n, min(t) \"first\", max(t) \"last\" FROM (SELECT {_TIME_SQL} t {_LOG_SQL}) GROUP BY 1"),
+    "log_array": (CONNECTIONS_ARRAY, "log", "SELECT ip, timestamp[2] AS month, array_length(timestamp) AS n FROM connections WHERE timestamp[3] = '2'", f'SELECT ip, "month", 6::BIGINT n {_LOG_SQL} AND "day" = 2'),
+    "log_unique_hours": (CONNECTIONS, "log", "SELECT hostname, array_unique(array_agg(hour)) AS hours FROM connections GROUP BY hostname", f'SELECT hostname, list_sort(list(DISTINCT "hour")) hours {_LOG_SQL} GROUP BY hostname'),
+    "log_input": (CONNECTIONS, "log", "SELECT input FROM connections WHERE hour = 3", f"SELECT regexp_replace(line, '\\r$', '') \"input\" {_LOG_SQL} AND \"hour\" = 3"),
+    "log_limit_groups": (CONNECTIONS, "log", "SELECT ip, COUNT(*) AS n FROM connections GROUP BY ip LIMIT 7", f"SELECT ip, count(*) n {_LOG_SQL} GROUP BY ip ORDER BY ip LIMIT 7"),
+    "split_rows": (CONNECTIONS_SPLIT, "split", "SELECT * FROM connections", f'SELECT ip, hostname, "year", "month", "day", "hour", "minute", "second" {_SPLIT_SQL}'),
+    "split_group": (CONNECTIONS_SPLIT, "split", "SELECT month, hour, COUNT(*) AS n, SUM(second) AS s, AVG(second) AS mean FROM connections GROUP BY month, hour", f'SELECT "month", "hour", count(*) n, sum("second")::BIGINT s, (sum("second") // count("second"))::BIGINT mean {_SPLIT_SQL} GROUP BY ALL'),
+    "ssh_rows": (SSH, "ssh", "SELECT hostname, username FROM ssh", "SELECT hostname, username FROM ssh WHERE hostname IS NOT NULL"),
+    "ssh_users": (SSH, "ssh", "SELECT hostname, COUNT(DISTINCT username) AS users, COUNT(*) AS n FROM ssh GROUP BY hostname HAVING COUNT(*) > 3", "SELECT hostname, count(DISTINCT username) users, count(*) n FROM ssh WHERE hostname IS NOT NULL GROUP BY hostname HAVING count(*) > 3"),
+    "json_rows": (CLIENTS, "clients", "SELECT timestamp, device_id, mac_address, events FROM clients", "SELECT \"timestamp\", device_id, mac_address, events FROM clients WHERE \"timestamp\" IS NOT NULL OR device_id IS NOT NULL OR mac_address IS NOT NULL OR events IS NOT NULL"),
+    "json_items": (CLIENTS, "clients", "SELECT device_id, events[1] AS first, array_length(events) AS n FROM clients WHERE device_id IS NOT NULL", "SELECT device_id, events[1] \"first\", len(events) n FROM clients WHERE device_id IS NOT NULL"),
+    "json_filter": (PROPS, "props", "SELECT COUNT(*) AS n, MIN(k) AS low, MAX(k) AS high FROM props WHERE k > 50", "SELECT count(*) n, min(k) low, max(k) high FROM (SELECT try_cast(props->>'k' AS BIGINT) k FROM events) WHERE k > 50 HAVING count(*) > 0"),
+    "json_reals": (EMBEDDINGS, "embeddings", "SELECT id, array_length(v) AS n, first > 0.0 AS up FROM embeddings", "SELECT vec_id id, len(embedding) n, embedding[1] > 0 up FROM embeddings"),
+    "join_inner": (DUMMY, "dummy1", "SELECT dummy1.hostname, min, dummy2.max FROM dummy1 INNER JOIN dummy2::'dummy2' ON dummy1.hostname = dummy2.hostname", 'SELECT a.hostname "dummy1.hostname", a."min", b."max" "dummy2.max" FROM dummy1 a JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname'),
+    "join_outer": (DUMMY, "dummy1", "SELECT * FROM dummy1 OUTER JOIN dummy2::'dummy2' ON dummy2.hostname = dummy1.hostname", 'SELECT a.hostname, a."min", b.hostname "dummy2.hostname", b."max" FROM dummy1 a LEFT JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname'),
+    "join_count": (DUMMY, "dummy1", "SELECT hostname, COUNT(*) AS n FROM dummy1 OUTER JOIN dummy2::'dummy2' ON dummy1.hostname = dummy2.hostname GROUP BY hostname", "SELECT a.hostname, count(*) n FROM dummy1 a JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname GROUP BY a.hostname"),
+    "join_orders": (ORDERS, "orders", "SELECT segment, status, COUNT(*) AS n FROM orders INNER JOIN customer::'customer' ON orders.custkey = customer.custkey GROUP BY segment, status", "SELECT c_mktsegment segment, o_orderstatus status, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 GROUP BY ALL"),
+    "item_sums": (LINEITEM, "lineitem", "SELECT flag, status, SUM(quantity) AS sum_qty, AVG(quantity) AS avg_qty, COUNT(*) AS n, AVG(linenumber) AS avg_line FROM lineitem GROUP BY flag, status", "SELECT l_returnflag flag, l_linestatus status, sum(l_quantity) sum_qty, sum(l_quantity) / count(*) avg_qty, count(*) n, (sum(l_linenumber) // count(*))::BIGINT avg_line FROM lineitem GROUP BY ALL"),
+    "item_spread": (LINEITEM, "lineitem", "SELECT flag, (STDDEV(quantity) * 1000.0 + 0.5)::int AS dev, (VARIANCE(linenumber) * 1000.0 + 0.5)::int AS var FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, floor(stddev_pop(l_quantity) * 1000 + 0.5)::BIGINT dev, floor(var_pop(l_linenumber) * 1000 + 0.5)::BIGINT \"var\" FROM lineitem GROUP BY ALL"),
+    "item_percentile": (LINEITEM, "lineitem", "SELECT status, PERCENTILE(quantity, 0.5) AS mid, PERCENTILE(linenumber, 0.9) AS high, PERCENTILE(quantity, 1.0) AS top FROM lineitem GROUP BY status", "SELECT l_linestatus status, list_sort(list(l_quantity))[floor(0.5 * count(*))::BIGINT + 1] mid, list_sort(list(l_linenumber))[floor(0.9 * count(*))::BIGINT + 1]::BIGINT high, max(l_quantity) top FROM lineitem GROUP BY ALL"),
+    "item_flags": (LINEITEM, "lineitem", "SELECT flag, BOOL_AND(quantity > 0.0) AS every, BOOL_OR(quantity >= 50.0) AS some, MAX(quantity) * 2.0 - MIN(quantity) AS span FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, bool_and(l_quantity > 0) \"every\", bool_or(l_quantity >= 50) \"some\", max(l_quantity) * 2 - min(l_quantity) span FROM lineitem GROUP BY ALL"),
+    "item_strings": (LINEITEM, "lineitem", "SELECT orderkey, STRING_AGG(flag, ',') AS flags, ARRAY_AGG(linenumber) AS numbers FROM lineitem GROUP BY orderkey", "SELECT l_orderkey orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber) flags, list(l_linenumber::BIGINT ORDER BY l_linenumber) numbers FROM lineitem GROUP BY ALL"),
+    "item_distinct_groups": (LINEITEM, "lineitem", "SELECT DISTINCT COUNT(*) AS n FROM lineitem GROUP BY orderkey", "SELECT DISTINCT n FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey)"),
+    "item_keys": (LINEITEM, "lineitem", "SELECT flag, status FROM lineitem GROUP BY status, flag", "SELECT DISTINCT l_returnflag flag, l_linestatus status FROM lineitem"),
+    "event_optional": (EVENTS, "events", "SELECT id, big, k, ktext FROM events", f"SELECT event_id id, \"value\" > 50 big, {_K} k, CASE event_id % 3 WHEN 1 THEN '' WHEN 2 THEN props->>'k' END ktext FROM events"),
+    "event_times": (EVENTS, "events", "SELECT id, EXTRACT(year FROM at) AS y, EXTRACT(month FROM at) AS mo, EXTRACT(day FROM at) AS d, EXTRACT(hour FROM at) AS h, EXTRACT(minute FROM at) AS mi, EXTRACT(second FROM at) AS s, EXTRACT(epoch FROM at) AS e FROM events", "SELECT event_id id, year(t) y, month(t) mo, day(t) d, hour(t) h, minute(t) mi, second(t) s, epoch(t)::DOUBLE e FROM (SELECT event_id, date_trunc('second', ts) t FROM events)"),
+    "event_intervals": (EVENTS, "events", "SELECT user_id, (MAX(at) - MIN(at))::int AS span, (MAX(at) - MIN(at))::real AS span_real FROM events GROUP BY user_id", "SELECT user_id, epoch(max(t))::BIGINT - epoch(min(t))::BIGINT span, (epoch(max(t)) - epoch(min(t)))::DOUBLE span_real FROM (SELECT user_id, date_trunc('second', ts) t FROM events) GROUP BY user_id"),
+    "event_shift": (EVENTS, "events", "SELECT id, at - '1:30:00'::interval AS before, '0:0:90'::interval + at AS after, at > '2024-01-15 12:00:00' AS late FROM events", "SELECT event_id id, t - INTERVAL 90 MINUTE \"before\", t + INTERVAL 90 SECOND \"after\", t > TIMESTAMP '2024-01-15 12:00:00' late FROM (SELECT event_id, date_trunc('second', ts) t FROM events)"),
+    "event_nulls": (EVENTS, "events", "SELECT id, k = NULL AS eq, k != 5 AS ne, NOT (k = 5) AS no, k IS NULL AS empty, k IS NOT 5 AS other, k IN (5, NULL) AS listed, k NOT IN (5, 6) AS unlisted, k + 1 AS more FROM events", f"SELECT event_id id, false eq, coalesce(k <> 5, false) ne, NOT coalesce(k = 5, false) \"no\", k IS NULL \"empty\", k IS DISTINCT FROM 5 other, (k = 5 OR k IS NULL) listed, coalesce(k NOT IN (5, 6), true) unlisted, k + 1 more FROM (SELECT event_id, {_K} k FROM events)"),
+    "event_case": (EVENTS, "events", "SELECT kind, SUM(CASE WHEN k > 50 THEN 1 WHEN k IS NULL THEN 100 ELSE 0 END) AS score FROM events WHERE kind IN ('click', 'view') OR big AND user_id > 10 GROUP BY kind", f"SELECT event_type kind, sum(CASE WHEN k > 50 THEN 1 WHEN k IS NULL THEN 100 ELSE 0 END)::BIGINT score FROM (SELECT *, {_K} k FROM events) WHERE (event_type IN ('click', 'view') OR \"value\" > 50) AND user_id > 10 GROUP BY event_type"),
+    "event_math": (EVENTS, "events", "SELECT id, -user_id / 7 AS q, abs(-user_id) AS a, pow(k, 2) AS sq, sqrt(k::real) >= 5.0 AS root, greatest(k, user_id) AS hi, least(k, user_id) AS lo, id::real / 0.0 > 0.0 AND id > 0 AS inf FROM events", f"SELECT event_id id, (-(user_id // 7))::BIGINT q, user_id a, (k * k)::BIGINT sq, coalesce(sqrt(k) >= 5, false) root, CASE WHEN k IS NOT NULL THEN greatest(k, user_id) END hi, CASE WHEN k IS NOT NULL THEN least(k, user_id) END lo, event_id > 0 inf FROM (SELECT *, {_K} k FROM events)"),
+    "event_text": (EVENTS, "events", "SELECT id, upper(kind) AS up, lower(upper(kind)) AS low, length(kind) AS len, id::text AS digits, k::text AS ktext, kind::text AS same, (id::real)::text AS two, big::text AS flag, at::text AS stamp, ARRAY[kind, NULL]::text AS pair FROM events", f"SELECT event_id id, upper(event_type) up, lower(event_type) low, length(event_type) len, event_id::VARCHAR digits, coalesce(k::VARCHAR, 'NULL') ktext, event_type same, event_id::VARCHAR || '.00' two, (\"value\" > 50)::VARCHAR flag, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.000') stamp, '{{''' || event_type || ''', NULL}}' pair FROM (SELECT *, {_K} k FROM events)"),
+    "event_arrays": (EVENTS, "events", "SELECT id, array_cat(ARRAY[id, k], ARRAY[user_id]) AS joined, array_append(ARRAY[kind], 'x') AS tail, array_prepend('x', ARRAY[kind]) AS head, array_unique(ARRAY[k, user_id, NULL, k]) AS u FROM events", f"SELECT event_id id, [event_id, k, user_id] joined, [event_type, 'x'] tail, ['x', event_type] head, list_sort(CASE WHEN k IS NULL OR k = user_id THEN [NULL, user_id] ELSE [NULL, k, user_id] END, 'ASC', 'NULLS FIRST') u FROM (SELECT *, {_K} k FROM events)"),
+    "event_made_time": (EVENTS, "events", "SELECT id, make_timestamp(2024, 2, 29, EXTRACT(hour FROM at), 5, 6, 7) AS made, make_timestamp(2023, 2, 29, 0, 0, 0, 0) AS none, now() > make_timestamp(2020, 1, 1, 0, 0, 0, 0) AS past FROM events", "SELECT event_id id, make_timestamp(2024, 2, 29, hour(ts), 5, 6.000007) made, NULL::TIMESTAMP \"none\", true past FROM events"),
+}
+
+
+def _query(definitions: str, lines: str, statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parsed = parse(definitions)
+        tables = {t.name: t for t in ((parsed,) if isinstance(parsed, tree.TableDef) else parsed)}
+        select = parse(statement)
+        ordered = needs_order(select)
+
+        def read(name: str) -> DataFrame:
+            d = _LINES[name](spark, sf_dir)
+            return d if ordered else d.drop("_order")
+
+        return plan(select, tables, read(lines), read).df
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _query(*s[:3]) for name, s in STATEMENTS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s[3] for name, s in STATEMENTS.items()}
