@@ -24,7 +24,7 @@ _WHITE = WHITE.translate({0x1C: None, 0x1D: None, 0x1E: None, 0x1F: None})
 
 # Marks that end a sentence only before white space (or at the end), and marks that need none.
 SPACED, CLOSE = ".!?…．؟۔‼⁇⁈⁉።܀", "。！？｡।॥။៕"
-CLOSERS = "\"'”’“»›)]}」』）》】〉〕］｝*_"
+CLOSERS = "\"'”’»›)]}」』）》】〉〕］｝*_"
 _EMOJI = r"(?:[\p{Extended_Pictographic}--[\p{Ascii}©®™‼⁉]]|[\U0001F1E6-\U0001F1FF])[️‍\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF\p{Extended_Pictographic}--\p{Ascii}]*"
 _AFTER = regex.compile(rf"[{regex.escape(CLOSERS)}]*(?:[ \t\xa0]*{_EMOJI})*", regex.V1)
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}　-〿＀-￯"
@@ -61,6 +61,7 @@ TABLES: dict[str, list[Rule]] = {
         _rule("[!?]+", rf"[{_CJK}]", True),
         _rule(rf"[{regex.escape(SPACED)}]+", r"\S", False),
         _rule(r"(?:\.{2,}|…+)", r"\s+[\"'“«„(]?\p{Ll}", False),
+        _rule(r"\p{Lu}(?:\.{2,}|…+)", r"\s+AND\b", False),
         _rule(r"(?i)(?<!\p{L})(?:zing|yahoo|jeopardy|yum)!", "", False),
         _rule(r"(?<![\p{L}\p{N}])[\p{Latin}\p{Cyrillic}]\.", "", False),
         _rule(r"(?<![\p{N}.,])\p{N}{1,2}\.", r"\s+\p{N}", False),
@@ -104,6 +105,9 @@ _FENCE = regex.compile(r" {0,3}(`{3,}|~{3,})([^`\n]*)\Z")
 _ITEM = regex.compile(r" {0,3}(?:([-*+•])|(\d{1,9})[.)])(?:[ \t\xa0]+|\Z)")
 _ENDED = regex.compile(rf"[{regex.escape(SPACED + CLOSE)}][{regex.escape(CLOSERS)}]*[\s]*\Z", regex.V1)
 _PARENTHESES = "(（"
+_WORD_THERE = regex.compile(r"[\s]*(\p{L}+)", regex.V1)
+# Words that hardly begin a sentence after a quotation.
+_AFTER_QUOTES = frozenset("and or but while when because appears says said is was means shows und oder aber et ou mais y o pero".split())
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
@@ -158,6 +162,26 @@ def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
         yield begin, body, n, False
 
 
+def _goes_on(quotation: str, rest: str) -> bool:
+    """Whether a sentence goes on after a quotation in it: in lower case, or, where all is in capitals or title case, with a word that goes on."""
+    word = _WORD_THERE.match(rest)
+    if word is None:
+        return False
+    return word[1][0].islower() or quotation.isupper() and len(word[1]) > 1 and word[1].isupper() or word[1].lower() in _AFTER_QUOTES
+
+
+def _after_mark(text: str, start: int, at: int, stop: int) -> int:
+    """The end of the closing quotes, brackets and emoji that follow a mark; what also opens quotations counts only where one is open."""
+    while True:
+        end = _AFTER.match(text, at, stop).end()
+        if text[end : end + 1] == "“" and end < stop and text.rfind("„", start, end) > text.rfind("“", start, end):
+            at = end + 1
+            continue
+        if text[at - 1 : at] in tuple(CLOSE) and (quote := text.find('"', at, end)) >= 0 and text.count('"', start, quote) % 2 == 0:
+            return quote
+        return end
+
+
 def _decide(text: str, body: int, mark_end: int, end: int, stop: int) -> bool:
     before, after = text[max(body, mark_end - 40) : mark_end], text[end : min(stop, end + 40)]
     return next(r.breaks for r in CASCADE if r.before.match(before) and r.after.match(after))
@@ -165,7 +189,7 @@ def _decide(text: str, body: int, mark_end: int, end: int, stop: int) -> bool:
 
 def prose_ends(text: str, body: int, stop: int) -> Iterator[int]:
     """The ends of the units in text[body:stop], but for the last."""
-    start, at = body, body
+    start, at, passed = body, body, -1
     # Addresses, without the marks at their ends, which may be those of the sentence.
     addresses = [(m.start(), m.start() + len(m[0].rstrip(".,;:!?…'\")”»"))) for m in _ADDRESS.finditer(text, body, stop)] if "://" in text or "@" in text else []
     seek = (_NEXT_THAI if _THAI_LETTER.search(text, body, stop) else _NEXT).search
@@ -174,7 +198,7 @@ def prose_ends(text: str, body: int, stop: int) -> Iterator[int]:
         while addresses and addresses[0][1] <= at:
             del addresses[0]
         if addresses and addresses[0][0] <= at:
-            at = addresses[0][1]
+            at = passed = addresses[0][1]
             continue
         m = _SPANS.match(text, at, stop)
         if m is None:
@@ -194,23 +218,23 @@ def prose_ends(text: str, body: int, stop: int) -> Iterator[int]:
             first = not text[start:opening].strip(_WHITE)
             quoted = m[0][0] not in _PARENTHESES
             follows = rest.lstrip(_WHITE)[:1]
-            if first and ended and (not quoted or not (follows.islower() or follows in tuple(",;:–—、，；：とはがをにのも"))):
+            if first and ended and (not quoted or not (_goes_on(m[0], rest) or follows in tuple(",;:–—、，；：とはがをにのも"))):
                 at = opening + 1  # stands for itself: its sentences are units
                 continue
             if not (ended and quoted):
                 continue
             spaced = rest[:1] in tuple(_WHITE) if rest else True
             introduced = text[start:opening].rstrip(_WHITE)[-1:] in (":", "：")
-            if not rest.strip(_WHITE) or not (spaced or introduced and m[0][0] in "“「『") or follows in tuple(",;:–—") or follows.islower() and not introduced:
+            if not rest.strip(_WHITE) or not (spaced or introduced and m[0][0] in "“「『") or follows in tuple(",;:–—") or _goes_on(m[0], rest) and not introduced:
                 continue
-            end = _AFTER.match(text, at, stop).end()
-            if first and follows.islower():
+            end = _after_mark(text, start, at, stop)
+            if first and _goes_on(m[0], rest):
                 continue
             yield end
             start = at = end
             continue
-        end = _AFTER.match(text, at, stop).end()
-        if _decide(text, body, at, end, stop):
+        end = _after_mark(text, start, at, stop)
+        if _decide(text, max(body, passed) if passed == m.start() else body, at, end, stop):
             yield end
             start = end
             at = end

@@ -38,7 +38,7 @@ def test_small_sets_are_exact(spark):
 
 def test_estimates_lie_in_their_bounds_and_merge(spark):
     k = 256
-    df = spark.range(60000).select(F.when(F.col("id") < 40000, "a").otherwise("b").alias("g"), F.when(F.col("id") < 40000, F.col("id")).otherwise(F.col("id") - 30000).cast("string").alias("v"))
+    df = spark.range(60000).select(F.when(F.col("id") < 40000, "a").otherwise("b").alias("g"), F.when(F.col("id") < 40000, F.col("id")).otherwise(F.col("id") - 10000).cast("string").alias("v"))
     s = kmv_sketches(df.repartition(5), ["g"], "v", k, 2).cache()
     low, high = kmv_bounds(F.col("sketch"), k, 4)
     for r in s.select("g", low.alias("low"), high.alias("high"), F.size("sketch").alias("n")).collect():
@@ -48,7 +48,7 @@ def test_estimates_lie_in_their_bounds_and_merge(spark):
     assert whole["sketch"] == direct["sketch"] and whole["n_rows"] == 60000
     a, b = (s.where(F.col("g") == g).select(F.col("sketch").alias(g)) for g in "ab")
     ops = a.join(b, F.lit(True)).select(*[c.alias(n) for n, c in kmv_set_operations(F.col("a"), F.col("b"), k, 4).items()]).first()
-    for name, true in (("union", 50000 - 10000 + 10000), ("intersection", 10000), ("difference", 30000)):
+    for name, true in (("union", 50000), ("intersection", 10000), ("difference", 30000)):
         assert ops[f"{name}_low"] <= true <= ops[f"{name}_high"], name
         assert ops[f"{name}_low"] <= ops[name] <= ops[f"{name}_high"]
 
@@ -188,9 +188,10 @@ SPLITS = [
     "J. K. Doe paid 3.5 resp. 4 V for No. 17 in the U.S. market.| I left.",
     "The log says “Not found! Try again.” and then stops.| “Disk full. Retry.” appears.",
     'He replied: "You can stop. Now."| The end.',
+    'THE LOG SAYS "WHO? NO!" AND STOPS... AND GOES ON.| The Log Says “Not Found!” And Then.',
     "(This stands alone.)| That too (v2.1 only. honestly).",
     "It waits... and goes on...| Then… it ends…| The end",
-    "See https://a.b/c?d=e.f.| Then use `x.y()! z` and a.b.c or v1.2.3.| Fine 🎉| ok",
+    "See https://a.b/c?d=e.f.| Then use `x.y()! z` and a.b.c or v1.2.3.| Fine! 🎉| ok 👍 so",
     "logs, dumps, etc.| You know etc. and so on.| Done.",
     "Der Index läuft, z. B. mit Nr. 4, vgl. Abb. 2, im 28. Versuch am 3. März.| „Es geht!“, meldet er, d. h. nie.| Gut.",
     "Le câble, c.-à-d. la copie, cf. p. 3, selon M. Doe ?| « Ça marche. », affiche Zing! une fois, etc. compris.| Fin.",
