@@ -71,7 +71,7 @@ _LINES = {
     "clients": _column("clients", "row_id"),
     "dummy1": _column("dummy1", "line"),
     "dummy2": _column("dummy2", "line"),
-    "lineitem": _rendered("lineitem", "concat_ws(';', l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, concat(' ', l_linestatus, ' '))", "l_orderkey, l_linenumber"),
+    "lineitem": _rendered("lineitem", "concat_ws(';', l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, concat(' ', l_linestatus, ' '))", "l_orderkey, l_linenumber, l_returnflag"),
     "events": _rendered("events", "concat(event_id, ' ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), ' user=', user_id, ' ', event_type, if(value > 50, ' big', ''), if(event_id % 3 = 0, '', concat(' k=', if(event_id % 3 = 1, '', cast(get_json_object(props, '$.k') as string)))))", "event_id"),
     "props": _rendered("events", "props", "event_id"),
     "orders": _rendered("orders", "concat_ws(';', o_orderkey, if(o_orderkey % 7 = 0, '', cast(o_custkey as string)), o_orderstatus)", "o_orderkey"),
@@ -98,7 +98,7 @@ STATEMENTS: dict[str, tuple[str, str, str, str]] = {
     "log_hosts_by_pattern": (CONNECTIONS, "log", "SELECT ip, hostname FROM connections WHERE regexp_matches(hostname, '\\\\.example$')", f"SELECT ip, hostname {_LOG_SQL} AND regexp_matches(hostname, '\\.example$')"),
     "log_timestamp": (CONNECTIONS_TIMED, "log", "SELECT date_trunc('hour', timestamp) AS hour, COUNT(*) AS n, MIN(timestamp) AS first, MAX(timestamp) AS last FROM connections GROUP BY date_trunc('hour', timestamp)", f"SELECT date_trunc('hour', t) \"hour\", count(*) n, min(t) \"first\", max(t) \"last\" FROM (SELECT {_TIME_SQL} t {_LOG_SQL}) GROUP BY 1"),
     "log_array": (CONNECTIONS_ARRAY, "log", "SELECT ip, timestamp[2] AS month, array_length(timestamp) AS n FROM connections WHERE timestamp[3] = '2'", f'SELECT ip, "month", 6::BIGINT n {_LOG_SQL} AND "day" = 2'),
-    "log_unique_hours": (CONNECTIONS, "log", "SELECT hostname, array_unique(array_agg(hour)) AS hours FROM connections GROUP BY hostname", f'SELECT hostname, list_sort(list(DISTINCT "hour")) hours {_LOG_SQL} GROUP BY hostname'),
+    "log_unique_hours": (CONNECTIONS, "log", "SELECT hostname, array_unique(array_agg(hour)) AS hours FROM connections GROUP BY hostname", f'SELECT hostname, list_sort(list(DISTINCT "hour")) "hours" {_LOG_SQL} GROUP BY hostname'),
     "log_input": (CONNECTIONS, "log", "SELECT input FROM connections WHERE hour = 3", f"SELECT regexp_replace(line, '\\r$', '') \"input\" {_LOG_SQL} AND \"hour\" = 3"),
     "log_limit_groups": (CONNECTIONS, "log", "SELECT ip, COUNT(*) AS n FROM connections GROUP BY ip LIMIT 7", f"SELECT ip, count(*) n {_LOG_SQL} GROUP BY ip ORDER BY ip LIMIT 7"),
     "split_rows": (CONNECTIONS_SPLIT, "split", "SELECT * FROM connections", f'SELECT ip, hostname, "year", "month", "day", "hour", "minute", "second" {_SPLIT_SQL}'),
@@ -117,7 +117,7 @@ STATEMENTS: dict[str, tuple[str, str, str, str]] = {
     "item_spread": (LINEITEM, "lineitem", "SELECT flag, (STDDEV(quantity) * 1000.0 + 0.5)::int AS dev, (VARIANCE(linenumber) * 1000.0 + 0.5)::int AS var FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, floor(stddev_pop(l_quantity) * 1000 + 0.5)::BIGINT dev, floor(var_pop(l_linenumber) * 1000 + 0.5)::BIGINT \"var\" FROM lineitem GROUP BY ALL"),
     "item_percentile": (LINEITEM, "lineitem", "SELECT status, PERCENTILE(quantity, 0.5) AS mid, PERCENTILE(linenumber, 0.9) AS high, PERCENTILE(quantity, 1.0) AS top FROM lineitem GROUP BY status", "SELECT l_linestatus status, list_sort(list(l_quantity))[floor(0.5 * count(*))::BIGINT + 1] mid, list_sort(list(l_linenumber))[floor(0.9 * count(*))::BIGINT + 1]::BIGINT high, max(l_quantity) top FROM lineitem GROUP BY ALL"),
     "item_flags": (LINEITEM, "lineitem", "SELECT flag, BOOL_AND(quantity > 0.0) AS every, BOOL_OR(quantity >= 50.0) AS some, MAX(quantity) * 2.0 - MIN(quantity) AS span FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, bool_and(l_quantity > 0) \"every\", bool_or(l_quantity >= 50) \"some\", max(l_quantity) * 2 - min(l_quantity) span FROM lineitem GROUP BY ALL"),
-    "item_strings": (LINEITEM, "lineitem", "SELECT orderkey, STRING_AGG(flag, ',') AS flags, ARRAY_AGG(linenumber) AS numbers FROM lineitem GROUP BY orderkey", "SELECT l_orderkey orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber) flags, list(l_linenumber::BIGINT ORDER BY l_linenumber) numbers FROM lineitem GROUP BY ALL"),
+    "item_strings": (LINEITEM, "lineitem", "SELECT orderkey, STRING_AGG(flag, ',') AS flags, ARRAY_AGG(linenumber) AS numbers FROM lineitem GROUP BY orderkey", "SELECT l_orderkey orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) flags, list(l_linenumber::BIGINT ORDER BY l_linenumber) numbers FROM lineitem GROUP BY ALL"),
     "item_distinct_groups": (LINEITEM, "lineitem", "SELECT DISTINCT COUNT(*) AS n FROM lineitem GROUP BY orderkey", "SELECT DISTINCT n FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey)"),
     "item_keys": (LINEITEM, "lineitem", "SELECT flag, status FROM lineitem GROUP BY status, flag", "SELECT DISTINCT l_returnflag flag, l_linestatus status FROM lineitem"),
     "event_optional": (EVENTS, "events", "SELECT id, big, k, ktext FROM events", f"SELECT event_id id, \"value\" > 50 big, {_K} k, CASE event_id % 3 WHEN 1 THEN '' WHEN 2 THEN props->>'k' END ktext FROM events"),
