@@ -11,10 +11,10 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.lines import MONTHS, is_real_date, month_number, without_cr
+from logloom.operators.lines import MONTHS, instant_seconds, without_cr
 
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
 
@@ -90,11 +90,6 @@ CONNECTIONS = RowSchema(
 )
 
 
-def _is_instant(values: dict[str, Column], names: Sequence[str]) -> Column:
-    year, month, day, hour, minute, second = (values[n] for n in names)
-    return is_real_date(year, month_number(month), day) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-
-
 def classify_rows(df: DataFrame, line: str, schema: RowSchema, keep: Sequence[str] = ()) -> DataFrame:
     """The columns ``keep``, then ``reason`` (NULL for a sound row), ``field`` (the first broken one) and ``row`` (the typed struct of a sound row).
 
@@ -112,7 +107,7 @@ def classify_rows(df: DataFrame, line: str, schema: RowSchema, keep: Sequence[st
     raw = F.when(F.col("_shaped"), F.struct(*[v.alias(n) for n, v in parts.items()]))
     marked = marked.withColumn("_raw", raw)
     typed = {f.name: (F.col("_raw")[f.name] if f.type == "string" else F.col("_raw")[f.name].try_cast(f.type)) for f in schema.fields}
-    sound = F.col("_shaped") & (_is_instant(typed, schema.instant) if schema.instant else F.lit(True))
+    sound = F.col("_shaped") & (instant_seconds(*[typed[n] for n in schema.instant]).isNotNull() if schema.instant else F.lit(True))
     marked = marked.withColumn("_sound", F.coalesce(sound, F.lit(False)))
     reason = F.when(F.col("_sound"), None).when(F.col("_shaped"), INVALID_VALUE).when(~text.rlike(schema.well_quoted), QUOTING).when(~text.rlike(schema.right_width), COLUMN_COUNT).otherwise(INVALID_VALUE)
     marked = marked.withColumn("reason", reason)

@@ -18,30 +18,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def month_number(month: Column) -> Column:
     """1-12 of a month's name in any case; NULL for anything else."""
-    names = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    return F.try_element_at(names, F.lower(month)).cast("bigint")
-
-
-def days_since_epoch(year: Column, month: Column, day: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, by arithmetic alone (no session zone, no errors)."""
-    y = year - F.when(month <= 2, 1).otherwise(0)
-    era = F.floor(y / 400)
-    in_era = y - era * 400
-    of_year = F.floor((153 * (month + F.when(month > 2, -3).otherwise(9)) + 2) / 5) + day - 1
-    return (era * 146097 + in_era * 365 + F.floor(in_era / 4) - F.floor(in_era / 100) + of_year - 719468).cast("bigint")
-
-
-def is_real_date(year: Column, month: Column, day: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    return year.between(1000, 9999) & month.between(1, 12) & (day >= 1) & (day <= last)
+    names, numbers = F.array(*map(F.lit, MONTHS)), F.array(*[F.lit(n).cast("bigint") for n in (None, *MONTHS.values())])
+    return F.get(numbers, F.array_position(names, F.lower(month)).cast("int"))
 
 
 def instant_seconds(year: Column, month_name: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    """Seconds since 1970 UTC of date and time columns; NULL unless all are present and form a real instant."""
-    month = month_number(month_name)
-    real = is_real_date(year, month, day) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-    return F.when(real, days_since_epoch(year, month, day) * 86400 + hour * 3600 + minute * 60 + second)
+    """Seconds since 1970 UTC of date and time columns, whatever the session's zone; NULL unless all are present and form a real instant."""
+    month = month_number(month_name).cast("int")
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.get(F.array(*map(F.lit, (0, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), month)
+    fits = year.between(1000, 9999) & day.between(1, 31) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
+    real = fits & (day <= last) & ((day < 29) | (month != 2) | leap)
+    days = F.unix_date(F.make_date(year.cast("int"), month, F.lit(1))) + day - 1
+    return F.when(real, days * 86400 + hour * 3600 + minute * 60 + second)
 
 
 def usable_instant(prefix: str = "") -> Column:
