@@ -55,6 +55,10 @@ def without_cr(line: Column) -> Column:
     return F.regexp_replace(line, r"\r\z", "")
 
 
-def once_per_line(df: DataFrame, keys: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:
-    """One row for each delivered line: copies of a line agree in everything but their delivery."""
-    return df.dropDuplicates(list(keys))
+def once_per_line(df: DataFrame) -> DataFrame:
+    """One row for each delivered line, of rows that hold its file, its number and what is read of it.
+
+    Copies of a line agree in all of these, so that equal rows are the copies; hashing whole rows lets each task drop its own copies before
+    the shuffle without sorting, and a line delivered very often leaves one row for each task.
+    """
+    return df.distinct()

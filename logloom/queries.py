@@ -77,8 +77,46 @@ c AS (SELECT *, flat AND try_cast(format('{{:04d}}-{{:02d}}-{{:02d}} {{:02d}}:{{
     coalesce(try_cast(v[5] AS BIGINT), 0), coalesce(try_cast(v[6] AS BIGINT), 99), coalesce(try_cast(v[7] AS BIGINT), 99), coalesce(try_cast(v[8] AS BIGINT), 99)) AS TIMESTAMP) IS NOT NULL AND v[3] >= '1000' AND coalesce(try_cast(v[8] AS BIGINT), 99) < 60 sound FROM w)"""
 
 
+_LEVEL_SQL = "(map {'debug': 'DEBUG', 'trace': 'DEBUG', 'info': 'INFO', 'notice': 'INFO', 'warn': 'WARN', 'warning': 'WARN', 'error': 'ERROR', 'severe': 'ERROR', 'fatal': 'FATAL', 'crit': 'FATAL', 'panic': 'FATAL'})"
+_NAMES_SQL = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+_CLOCK = "([0-9]{2}:[0-9]{2}:[0-9]{2})"
+#: The headers as one pattern each; their groups in the order of the names. ``y`` is the year of the file's opening.
+_HEADER_SQL = {
+    "syslog": (rf"^(?:<([0-9]{{1,3}})>)?([A-Z][a-z]{{2}}) ([ 0-9][0-9]) {_CLOCK} [^ ]+ ([^ \[\]:]+)(?:\[[0-9]+\])?: (.*)$", ["pri", "mon", "day", "clock", "name", "msg"], f"y || format('-{{:02d}}-', list_position({_NAMES_SQL}, h.mon)) || replace(h.day, ' ', '0') || ' ' || h.clock", "CASE WHEN h.pri = '' THEN '' ELSE ['FATAL', 'FATAL', 'FATAL', 'ERROR', 'WARN', 'INFO', 'INFO', 'DEBUG'][coalesce(try_cast(h.pri AS INT), 0) % 8 + 1] END"),
+    "bracketed": (rf"^\[[A-Z][a-z]{{2}} ([A-Z][a-z]{{2}}) ([0-9]{{2}}) {_CLOCK} ([0-9]{{4}})\] \[([A-Za-z]+)\] \[([^\]]+)\] (.*)$", ["mon", "day", "clock", "year", "lvl", "name", "msg"], f"h.year || format('-{{:02d}}-', list_position({_NAMES_SQL}, h.mon)) || h.day || ' ' || h.clock", f"{_LEVEL_SQL}[lower(h.lvl)]"),
+    "piped": (rf"^([0-9]{{2}})/([0-9]{{2}})/([0-9]{{4}}) {_CLOCK}\|([A-Za-z]+)\|([^|]+)\|(.*)$", ["day", "mon", "year", "clock", "lvl", "name", "msg"], "h.year || '-' || h.mon || '-' || h.day || ' ' || h.clock", f"{_LEVEL_SQL}[lower(h.lvl)]"),
+    "epoch": (r"^([0-9]+)\.[0-9]+ ([A-Za-z]+)/([^ :]+): (.*)$", ["s", "lvl", "name", "msg"], "strftime(make_timestamp(h.s::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S')", f"{_LEVEL_SQL}[lower(h.lvl)]"),
+    "initial": (rf"^([DIWEF])([0-9]{{2}})([0-9]{{2}}) {_CLOCK}\.[0-9]+ +[0-9]+ ([^ :]+):[0-9]+\] (.*)$", ["lvl", "mon", "day", "clock", "name", "msg"], "y || '-' || h.mon || '-' || h.day || ' ' || h.clock", "(map {'D': 'DEBUG', 'I': 'INFO', 'W': 'WARN', 'E': 'ERROR', 'F': 'FATAL'})[h.lvl]"),
+    "dashed": (rf"^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}) {_CLOCK},[0-9]+ ([A-Za-z]+) +([^ ]+) - (.*)$", ["d", "clock", "lvl", "name", "msg"], "h.d || ' ' || h.clock", f"{_LEVEL_SQL}[lower(h.lvl)]"),
+    "zoned": (rf"^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})T{_CLOCK}(?:\.[0-9]+)?(?:Z|([+-])([0-9]{{2}}):([0-9]{{2}})) ([A-Za-z]+) +\[([^\]]+)\] (.*)$", ["d", "clock", "sign", "zh", "zm", "lvl", "name", "msg"], "strftime((h.d || ' ' || h.clock)::TIMESTAMP - CASE WHEN h.sign = '' THEN INTERVAL 0 MINUTE ELSE to_minutes(coalesce(try_cast(h.sign || '1' AS BIGINT) * (try_cast(h.zh AS BIGINT) * 60 + try_cast(h.zm AS BIGINT)), 0)) END, '%Y-%m-%d %H:%M:%S')", f"{_LEVEL_SQL}[lower(h.lvl)]"),
+}
+_MEMBERS_SQL = {
+    "json": ("starts_with(t, '{') AND json_valid(t)", "{'ts': t->>'$.ts', 'lvl': coalesce(t->>'$.lvl', ''), 'name': t->>'$.logger', 'msg': t->>'$.msg'}"),
+    "pairs": ("regexp_matches(t, '^(ts|level)=[^ ]+ ')", """{'ts': regexp_extract(t, '(?:^| )ts=([^ ]+)', 1), 'lvl': regexp_extract(t, '(?:^| )level=([^ ]+)', 1), 'name': regexp_extract(t, ' component=([^ ]+)', 1), 'msg': (('"' || regexp_extract(t, ' msg="((?:[^"\\\\]|\\\\.)*)"', 1) || '"')::JSON)->>'$'}"""),
+}
+
+
+def _entries_sql() -> str:
+    parts = [
+        f"SELECT file_id, line_no, {time} entry_time, {level} level, h.name component, h.msg message FROM (SELECT *, regexp_extract(t, '{pattern}', {names}, 's') h FROM l WHERE regexp_matches(t, '{pattern}', 's'))"
+        for pattern, names, time, level in _HEADER_SQL.values()
+    ]
+    stamp = "strftime(CASE WHEN regexp_full_match(h.ts, '[0-9]+') THEN make_timestamp((try_cast(h.ts AS BIGINT) // 1000) * 1000000) ELSE try_cast(replace(h.ts, 'Z', '') AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S')"
+    parts += [f"SELECT file_id, line_no, {stamp}, CASE WHEN h.lvl = '' THEN '' ELSE {_LEVEL_SQL}[lower(h.lvl)] END, h.name, h.msg FROM (SELECT *, {members} h FROM l WHERE {where})" for where, members in _MEMBERS_SQL.values()]
+    return f"""
+WITH l AS (SELECT file_id, line_no, regexp_replace(any_value(line), '\r$', '') t, year(any_value(opened_at))::VARCHAR y FROM connections JOIN log_files USING (file_id) WHERE kind = 'log' AND line IS NOT NULL GROUP BY file_id, line_no),
+h AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT l.*, h.* EXCLUDE (file_id, line_no), h.component IS NOT NULL head, max(CASE WHEN h.component IS NOT NULL THEN l.line_no END) OVER (PARTITION BY l.file_id ORDER BY l.line_no) first FROM l LEFT JOIN h ON l.file_id = h.file_id AND l.line_no = h.line_no)
+SELECT file_id, first line_no, count(*)::BIGINT n_lines, max(entry_time) entry_time, max(level) level, max(component) component, string_agg(CASE WHEN head THEN message ELSE t END, chr(10) ORDER BY line_no) message
+FROM g WHERE first IS NOT NULL GROUP BY file_id, first"""
+
+
+_ENTRIES_SQL = _entries_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _ENTRIES_SQL,
         "p1_found": f"""
 WITH u AS ({USABLE_SQL}), g AS (SELECT ip, at_s, CASE WHEN at_s - lag(at_s) OVER (PARTITION BY ip ORDER BY at_s) <= 1800 THEN 0 ELSE 1 END f FROM u),
 s AS (SELECT ip, at_s, sum(f) OVER (PARTITION BY ip ORDER BY at_s RANGE UNBOUNDED PRECEDING) n FROM g)

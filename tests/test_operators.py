@@ -144,7 +144,7 @@ LINES = {
     "10.0.0.1;a;2005;May;1;24;3;4": ("invalid_value", "instant"),
     "10.0.0.1;a;2005;May;0;2;3;4": ("invalid_value", "instant"),
     "ip;hostname;year;month;day;hour;minute;second": "none",
-    "﻿ip;hostname;year;month;day;hour;minute;second\r": "none",
+    "\ufeffip;hostname;year;month;day;hour;minute;second\r": "none",
     "": "none",
     " \t": "none",
     "\r": "none",
