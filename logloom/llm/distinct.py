@@ -140,7 +140,8 @@ def kmv_set_operations(a: Column, b: Column, k: int, sigmas: float = 3.0) -> dic
         share, z2 = F.size(part) / drawn, sigmas**2
         middle, spread = (share + z2 / (2 * drawn)) / (1 + z2 / drawn), sigmas * F.sqrt(share * (1 - share) / drawn + z2 / (4 * drawn * drawn)) / (1 + z2 / drawn)
         exact = F.size(union) < k
-        out[name] = share * n
-        out[f"{name}_low"] = F.when(exact, share * n).otherwise(F.greatest(F.lit(0.0), middle - spread) * low)
-        out[f"{name}_high"] = F.when(exact, share * n).otherwise((middle + spread) * high)
+        number = F.size(part).cast("double")
+        out[name] = F.when(exact, number).otherwise(share * n)
+        out[f"{name}_low"] = F.when(exact, number).otherwise(F.greatest(F.lit(0.0), middle - spread) * low)
+        out[f"{name}_high"] = F.when(exact, number).otherwise((middle + spread) * high)
     return out

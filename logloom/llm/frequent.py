@@ -66,11 +66,12 @@ class SpaceSaving:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((field, slot, self.total, self.missed, v, [self.counts[x] for x in v], [self.errors[x] for x in v]), _SCHEMA.types)], schema=_SCHEMA)
 
 
-def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_in: int = 16) -> DataFrame:
+def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_in: int = 16, states: int = 4096) -> DataFrame:
     """One summary row for each field: (field, total, missed, items, counts, errors).
 
     ``total`` counts all rows, with NULL or not; NULL values are in no summary; an empty string is a value. An empty input gives no rows.
-    A task holds at most 4 * size values of each field.
+    A task holds at most 4 * size values of each field. Summaries of neighbouring tasks are merged by ``fan_in`` in rounds, as many as
+    ``states`` tasks need; with more tasks than that only the last round, of already merged summaries, becomes wider.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +93,10 @@ def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_i
 
     source = df.select(*[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     parts = source.mapInArrow(local, _SUMMARY)
-    for _ in range(rounds_for(source.rdd.getNumPartitions(), fan_in)):
-        parts = parts.withColumn("slot", F.floor(F.col("slot") / fan_in)).groupBy("field", "slot").applyInArrow(merged, _SUMMARY)
+    rounds = rounds_for(states, fan_in)
+    for r in range(1, rounds + 1):
+        slot = F.floor(F.col("slot") / fan_in) if r < rounds else F.lit(0).cast("bigint")
+        parts = parts.withColumn("slot", slot).groupBy("field", "slot").applyInArrow(merged, _SUMMARY)
     return parts.drop("slot")
 
 

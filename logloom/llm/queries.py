@@ -63,7 +63,7 @@ def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day of a site against the day before: addresses of either, of both and only of the later one, with bounds."""
-    days = _p4_sketches(spark, sf_dir).where("length(period) = 10").select("site", F.to_date("period").alias("day"), "sketch")
+    days = cut_lineage(_p4_sketches(spark, sf_dir).where("length(period) = 10")).select("site", F.to_date("period").alias("day"), "sketch")
     before = days.select("site", F.date_add("day", 1).alias("day"), F.col("sketch").alias("earlier"))
     ops = kmv_set_operations(F.col("sketch"), F.col("earlier"), K)
     return days.join(before, ["site", "day"]).select("site", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c.alias(n) for n, c in ops.items()])
@@ -119,6 +119,13 @@ c AS (SELECT field, "value", count(*)::BIGINT n_rows FROM v WHERE "value" IS NOT
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4_SQL + "\nSELECT period, site FROM g GROUP BY period, site HAVING count(*) >= 20 AND count(DISTINCT ip) * 2 >= count(*)",
+        # These two hold as long as no group's sketch is full, which at the driver's size is so.
+        "p4_distinct": _P4_SQL + "\nSELECT period, site, count(*)::BIGINT n_lines, count(DISTINCT ip)::DOUBLE n_ips, count(DISTINCT ip)::DOUBLE low, count(DISTINCT ip)::DOUBLE high FROM g GROUP BY period, site",
+        "p4_days": _P4_SQL
+        + """,
+s AS (SELECT site, period::DATE d, list(DISTINCT ip) v FROM g WHERE length(period) = 10 GROUP BY ALL),
+n AS (SELECT a.site, strftime(a.d, '%Y-%m-%d') AS "day", len(list_distinct(list_concat(a.v, b.v)))::DOUBLE u, len(list_intersect(a.v, b.v))::DOUBLE i, len(a.v)::DOUBLE m FROM s a JOIN s b ON a.site = b.site AND a.d = b.d + 1)
+SELECT site, "day", u AS "union", u AS union_low, u AS union_high, i AS intersection, i AS intersection_low, i AS intersection_high, m - i AS difference, m - i AS difference_low, m - i AS difference_high FROM n""",
         "p5_found": _P5_SQL + '\nSELECT field, "value" FROM c',
         "p5_counts": _P5_SQL + '\nSELECT field, "value", n_rows FROM c',
     }

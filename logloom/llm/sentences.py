@@ -19,15 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WHITE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0                　"
-_WHITE = WHITE.translate({0x1C: None, 0x1D: None, 0x1E: None, 0x1F: None})
+# Fixed value: the characters that are white space in Unicode's sense.
+_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Marks that end a sentence only before white space (or at the end), and marks that need none.
 SPACED, CLOSE = ".!?…．؟۔‼⁇⁈⁉።܀", "。！？｡।॥။៕"
 CLOSERS = "\"'”’»›)]}」』）》】〉〕］｝*_"
-_EMOJI = r"(?:[\p{Extended_Pictographic}--[\p{Ascii}©®™‼⁉]]|[\U0001F1E6-\U0001F1FF])[️‍\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF\p{Extended_Pictographic}--\p{Ascii}]*"
+_EMOJI = r"(?:[\p{Extended_Pictographic}--[\p{Ascii}©®™‼⁉]]|[\U0001F1E6-\U0001F1FF])[\ufe0f\u200d\U0001F3FB-\U0001F3FF\U0001F1E6-\U0001F1FF\p{Extended_Pictographic}--\p{Ascii}]*"
 _AFTER = regex.compile(rf"[{regex.escape(CLOSERS)}]*(?:[ \t\xa0]*{_EMOJI})*", regex.V1)
-_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}　-〿＀-￯"
+_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\u3000-\u303f\uff00-\uffef"
 _THAI = r"ก-ฺเ-๎"
 
 
@@ -93,7 +93,7 @@ _SPANS = regex.compile(
     r"|(?P<span>“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|《[^《》]*》|（[^（）]*）|\([^()]*\)"
     r"|(?<!\w)\"(?=\S)[^\"]*\"(?!\w)|(?<!\w)'(?=\S)(?:[^']|(?<=\w)'(?=\w))*'(?!\w)|(?<!\w)‘(?=\S)[^‘]*?’(?!\w))"
     rf"|(?P<mark>[{regex.escape(SPACED + CLOSE)}]+)"
-    rf"|(?P<thai>(?<=[{_THAI}])[ \t\xa0 　]+(?=[{_THAI}]))",
+    rf"|(?P<thai>(?<=[{_THAI}])[ \t\xa0\u2009\u3000]+(?=[{_THAI}]))",
     regex.V1,
 )
 # Where one of the above may begin: a plain class, so that the search for it is quick; blanks count only in texts with Thai letters.

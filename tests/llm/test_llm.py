@@ -90,12 +90,13 @@ def test_frequent_values_match_brute_force(spark):
     a = [rng.choice(["hot"] * 5 + ["", None] + [f"u{rng.randint(0, 5000)}" for _ in range(9)]) for _ in range(5000)]
     b = [rng.choice(["x", "y", f"w{i}"]) for i in range(5000)]
     df = spark.createDataFrame([(*z, 1) for z in zip(a, b)], "a string, value string, field int").repartition(6)
-    got = {(r["field"], r["value"]): r["n_rows"] for r in frequent_values(df, ["a", "value"], 0.02, 128, 2).collect()}
+    got = {(r["field"], r["value"]): r["n_rows"] for r in frequent_values(df, ["a", "value"], 0.02, 128).collect()}
     want = {(f, v): n for f, col in (("a", a), ("value", b)) for v, n in Counter(col).items() if v is not None and n >= 100}
     assert got == want
     assert frequent_values(df.limit(0), ["a"], 0.1, 64).collect() == []
     assert frequent_values(df.select(F.lit(None).cast("string").alias("a")), ["a"], 0.1, 64).collect() == []
-    assert frequent_summaries(df, ["a"], 64, 2).first()["total"] == 5000
+    for states in (1, 2, 8):
+        assert [r["total"] for r in frequent_summaries(df, ["a"], 64, 2, states).collect()] == [5000]
     with pytest.raises(ValueError):
         frequent_values(df, ["a"], 0.01, 100)
 
