@@ -52,7 +52,7 @@ def host_key(hostname: Column) -> Column:
 
 def without_cr(line: Column) -> Column:
     """A line without one trailing carriage return."""
-    return F.regexp_replace(line, r"\r\z", "")
+    return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line)
 
 
 def once_per_line(df: DataFrame) -> DataFrame:

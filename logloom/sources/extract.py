@@ -1,14 +1,13 @@
 """Lines to typed rows, as Spark expressions over one string column.
 
-Columns of one capture pattern come from a single match of the line: the match's groups are written side by side and split again, in a
-projection of their own, so that the pattern runs twice for a line (to see whether it matches, and for its groups) however many columns
-there are. With few columns each takes its own group, and unused columns are pruned.
+Columns of one capture pattern come from a single match of the line: the match's groups are written side by side and split again, so that
+the pattern runs once for a line however many columns there are. Only the groups of columns in use are taken.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from logloom.sources.patterns import FLAGS, Pattern, compile_pattern
 INPUT = "input"
 _SEPARATOR = "\x01"
 #: From so many groups of a pattern on, one match serves all.
-PACK_FROM = 3
+PACK_FROM = 2
 
 
 class Extractor:
@@ -49,50 +48,83 @@ class Extractor:
         """The table's columns and the line for each line that makes a row.
 
         A line without any value makes no row, nor does one whose NOT NULL column is NULL. ``lines`` has one column of strings, ``value``.
-        Columns outside ``needed`` are left out; whether a line makes a row depends on all columns all the same.
+        Columns outside ``needed`` are left out, and not worked out unless they decide whether a line makes a row.
         """
         d = lines.withColumnRenamed("value", INPUT)
         line = F.col(INPUT)
-        d, group, matched = self._prepare(d, line)
-        if any(c.path for c in self.table.columns):
-            d = d.withColumn("_json", F.try_parse_json(line))
-        columns = {c.name: self._column(c, group, matched) for c in self.table.columns}
-        keep = self._row_filter(columns, matched)
-        if keep is not None:
-            d = d.where(keep)
         names = [c.name for c in self.table.columns if needed is None or c.name in needed]
-        # A column named like the line is hidden by it outside ``*``: it travels under a name of its own.
+        deciding, proof = self._deciding()
+        relevant = [c for c in self.table.columns if c.name in names or c in deciding]
+        d, group, matched = self._prepare(d, line, relevant, proof)
+        if any(c.path for c in relevant):
+            d = _once(d, "_json", F.try_parse_json(line))
+        columns = {c.name: self._column(c, group, matched) for c in relevant}
+        strict = [columns[c.name].isNotNull() for c in deciding if c.not_null]
+        if strict:
+            d = d.where(reduce(and_, strict))
+        elif proof is not None:
+            d = d.where(matched(proof))
+        else:
+            d = d.where(reduce(or_, [columns[c.name].isNotNull() for c in deciding], F.lit(False)))
+        # A column named like the line is hidden by it outside ``*``: the line travels under a name of its own.
         others = [c for c in d.columns if c not in (INPUT, "_json") and not c.startswith("_m_")]
         return d.select(*others, line.alias("_line"), *[columns[n].alias(n) for n in names])
 
-    def _prepare(self, d: DataFrame, line: Column):
+    def _deciding(self) -> tuple[list[ColumnDef], Reference | None]:
+        """The columns that decide whether a line makes a row; none, and a reference, if the match of its pattern is proof enough.
+
+        It is if all columns are of one pattern, none has a default, and one of them has a value whenever the pattern matches.
+        """
+        all_of = self.table.columns
+        strict = [c for c in all_of if c.not_null]
+        if strict:
+            return strict, None
+        patterns = {r.pattern for c in all_of for r in c.references}
+        if len(patterns) == 1 and all(c.references and c.default is None for c in all_of):
+            p = self.table.pattern(next(iter(patterns)))
+            groups = self.patterns[p.name].groups
+            for c in all_of:
+                g = c.references[0].group
+                always = g <= 1 if p.split else c.type == BOOLEAN or g == 0 or g <= len(groups) and groups[g - 1].always
+                if len(c.references) == 1 and c.type in (TEXT, BOOLEAN) and always:
+                    return [], c.references[0]
+        return list(all_of), None
+
+    def _prepare(self, d: DataFrame, line: Column, relevant: list[ColumnDef], proof: Reference | None):
+        """The lines with what their patterns find; how to get a group's text, NULL if it took no part; whether a pattern matched."""
         used: dict[str, set[int]] = {}
-        for c in self.table.columns:
+        for c in relevant:
             for r in c.references:
                 used.setdefault(r.pattern, set()).add(r.group)
+        if proof is not None:
+            used.setdefault(proof.pattern, set())
         cells: dict[tuple[str, int], Column] = {}
         matches: dict[str, Column] = {}
         for k, p in enumerate(self.table.patterns):
             if p.name not in used or self.table.pattern(p.name) is not p:
                 continue
-            compiled = self.patterns[p.name]
+            compiled, found = self.patterns[p.name], f"_m_{k}"
+            java = FLAGS + compiled.java
             if p.split:
-                d = d.withColumn(f"_m_{k}", F.split(line, FLAGS + compiled.java, -1))
+                if used[p.name] - {0}:
+                    d = _once(d, found, F.split(line, java, -1))
                 for g in used[p.name]:
-                    cells[p.name, g] = line if g == 0 else F.get(F.col(f"_m_{k}"), F.lit(g - 1))
-                matches[p.name] = F.lit(True)
+                    cells[p.name, g] = line if g == 0 else F.get(F.col(found), F.lit(g - 1))
+                matches[p.name] = line.isNotNull()
                 continue
-            java = FLAGS + compiled.java
-            matched = line.rlike(java)
-            groups = sorted(g for g in used[p.name] if 0 <= g <= len(compiled.groups))
-            if len(groups) >= PACK_FROM and 0 not in groups:
+            groups = sorted(g for g in used[p.name] if 0 < g <= len(compiled.groups))
+            if len(groups) >= PACK_FROM:
+                # As many parts as groups come out if the pattern matches, else the line alone.
                 single = F.array(*[F.regexp_extract(line, java, g) for g in groups])
                 packed = F.split(F.regexp_replace(line, rf"\A(?s:.*?)(?:{java})(?s:.*)\z", _SEPARATOR.join(f"${g}" for g in groups)), _SEPARATOR, -1)
-                d = d.withColumn(f"_m_{k}", F.when(matched, F.when(F.contains(line, F.lit(_SEPARATOR)), single).otherwise(packed)))
-                matched = F.col(f"_m_{k}").isNotNull()
-                texts = {g: F.get(F.col(f"_m_{k}"), F.lit(i)) for i, g in enumerate(groups)}
+                d = _once(d, found, F.when(F.contains(line, F.lit(_SEPARATOR)), F.when(line.rlike(java), single)).otherwise(packed))
+                matched = F.coalesce(F.size(found) == len(groups), F.lit(False))
+                texts = {g: F.when(matched, F.get(F.col(found), F.lit(i))) for i, g in enumerate(groups)}
             else:
+                matched = line.rlike(java)
                 texts = {g: F.when(matched, F.regexp_extract(line, java, g)) for g in groups}
+            if 0 in used[p.name]:
+                texts[0] = F.when(matched, F.regexp_extract(line, java, 0))
             matches[p.name] = matched
             for g in used[p.name]:
                 if g not in texts:
@@ -152,26 +184,14 @@ class Extractor:
             value = _typed(found, c.type)
         return F.when(found.isNotNull(), value).otherwise(default)
 
-    def _row_filter(self, columns: dict[str, Column], matched) -> Column | None:
-        """What a line must have to make a row; as simple as can be proved, so that unused columns needn't be computed."""
-        wanted = [columns[c.name].isNotNull() for c in self.table.columns if c.not_null]
-        some = None
-        if not wanted and not any(c.default is not None for c in self.table.columns):
-            first = self.table.columns
-            patterns = {r.pattern for c in first for r in c.references}
-            if len(patterns) == 1 and not any(c.path for c in first):
-                p = self.table.pattern(next(iter(patterns)))
-                compiled = self.patterns[p.name]
-                whole = [c for c in first if len(c.references) == 1 and c.type in (TEXT, BOOLEAN) and (p.split and c.references[0].group <= 1 or not p.split and (c.type == BOOLEAN or c.references[0].group == 0 or c.references[0].group <= len(compiled.groups) and compiled.groups[c.references[0].group - 1].always))]
-                if whole:
-                    some = F.lit(True) if p.split else matched(whole[0].references[0])
-        if not wanted and some is None:
-            some = reduce(or_, [c.isNotNull() for c in columns.values()], F.lit(False))
-        parts = [*wanted] if wanted else [some]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out & x
-        return out
+
+def _once(d: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once for each row.
+
+    Were it projected, predicates on it would be pushed below the projection and work it out once more for each mention; they aren't pushed
+    below the explosion of an array of one.
+    """
+    return d.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _typed(value: Column, kind: SqlType) -> Column:
