@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.lines import MONTHS, instant_seconds, without_cr
+from logloom.operators.lines import MONTHS, instant_seconds, without_cr, worked_out_once
 
+_SEPARATOR = "\x01"
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
 
 
@@ -64,8 +65,8 @@ class RowSchema:
 
     @property
     def captures(self) -> str:
-        """As whole_row, with each field's bare value as a group."""
-        return rf'\A{re.escape(self.delimiter).join(f'"?+({f.pattern})"?+' for f in self.fields)}\z'
+        """As whole_row, with each field's opening quote, if any, and its bare value as groups 2i-1 and 2i."""
+        return rf'\A{re.escape(self.delimiter).join(f'("?+)({f.pattern})\\{2 * i + 1}' for i, f in enumerate(self.fields))}\z'
 
     def header(self) -> str:
         """A header line, also after a byte-order mark, its names perhaps quoted."""
@@ -101,18 +102,26 @@ def classify_rows(df: DataFrame, line: str, schema: RowSchema, keep: Sequence[st
     # Columns are held in a struct until the end: no name of the input can clash with those made here.
     d = df.select(F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), without_cr(F.col(line)).alias("_line"))
     d = d.where(F.col("_line").isNotNull() & ~F.col("_line").rlike(r"(?U)\A[\s\x{FEFF}]*+\z") & ~F.col("_line").rlike(schema.header()))
-    text = F.col("_line")
-    marked = d.withColumn("_shaped", text.rlike(schema.whole_row))
-    parts = {f.name: F.regexp_extract(text, schema.captures, i).cast("string") for i, f in enumerate(schema.fields, 1)}
-    raw = F.when(F.col("_shaped"), F.struct(*[v.alias(n) for n, v in parts.items()]))
-    marked = marked.withColumn("_raw", raw)
-    typed = {f.name: (F.col("_raw")[f.name] if f.type == "string" else F.col("_raw")[f.name].try_cast(f.type)) for f in schema.fields}
-    sound = F.col("_shaped") & (instant_seconds(*[typed[n] for n in schema.instant]).isNotNull() if schema.instant else F.lit(True))
-    marked = marked.withColumn("_sound", F.coalesce(sound, F.lit(False)))
-    reason = F.when(F.col("_sound"), None).when(F.col("_shaped"), INVALID_VALUE).when(~text.rlike(schema.well_quoted), QUOTING).when(~text.rlike(schema.right_width), COLUMN_COUNT).otherwise(INVALID_VALUE)
-    marked = marked.withColumn("reason", reason)
-    broken = F.when(F.col("_sound") | (F.col("reason") == COLUMN_COUNT), None).when(F.col("_shaped"), "instant")
+    text, n = F.col("_line"), len(schema.fields)
+    # The bare values of a row of the right shape come from one match; as many parts as fields come out only if it matches.
+    single = F.when(text.rlike(schema.whole_row), F.array(*[F.regexp_extract(text, schema.captures, 2 * i) for i in range(1, n + 1)]))
+    parts = F.split(F.regexp_replace(text, schema.captures, _SEPARATOR.join(f"${2 * i}" for i in range(1, n + 1))), _SEPARATOR, -1)
+    d = worked_out_once(d, "_cells", F.when(F.contains(text, F.lit(_SEPARATOR)) | F.lit(n < 2), single).otherwise(parts))
+    shaped = F.coalesce(F.size("_cells") == n, F.lit(False))
+    cells = {f.name: F.get(F.col("_cells"), F.lit(i)) for i, f in enumerate(schema.fields)}
+    typed = {f.name: (cells[f.name] if f.type == "string" else cells[f.name].try_cast(f.type)) for f in schema.fields}
+    sound = shaped & (instant_seconds(*[typed[x] for x in schema.instant]).isNotNull() if schema.instant else F.lit(True))
+    reason = (
+        F.when(sound, F.lit(""))
+        .when(shaped, INVALID_VALUE)
+        .when(~text.rlike(schema.well_quoted), QUOTING)
+        .when(~text.rlike(schema.right_width), COLUMN_COUNT)
+        .otherwise(INVALID_VALUE)
+    )
+    d = worked_out_once(d, "_reason", reason)
+    is_sound = F.col("_reason") == ""
+    broken = F.when(is_sound | (F.col("_reason") == COLUMN_COUNT), None).when(shaped, "instant")
     for k, f in enumerate(schema.fields, 1):
         broken = broken.when(~text.rlike(schema.prefix(k)), f.name)
-    row = F.when(F.col("_sound"), F.struct(*[v.alias(n) for n, v in typed.items()]))
-    return marked.select(*[F.col("_keep")[k].alias(k) for k in keep], F.col("reason"), broken.alias("field"), row.alias("row"))
+    row = F.when(is_sound, F.struct(*[v.alias(x) for x, v in typed.items()]))
+    return d.select(*[F.col("_keep")[k].alias(k) for k in keep], F.when(~is_sound, F.col("_reason")).alias("reason"), broken.alias("field"), row.alias("row"))

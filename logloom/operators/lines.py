@@ -55,6 +55,24 @@ def without_cr(line: Column) -> Column:
     return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line)
 
 
+def worked_out_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once for each row.
+
+    Were it projected, predicates on it would be pushed below the projection and work it out once more for each mention; they aren't pushed
+    below the explosion of an array of one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over at least as many tasks as there are cores: a table in few small files would keep few of them busy.
+
+    A table of many files or splits, as at scale, is left as it is, without shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once_per_line(df: DataFrame) -> DataFrame:
     """One row for each delivered line, of rows that hold its file, its number and what is read of it.
 

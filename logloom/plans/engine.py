@@ -27,7 +27,7 @@ class Statistics:
     megabytes: float
 
     def __str__(self) -> str:
-        return f"Executed query in {self.seconds:.2f} seconds, ingested {self.megabytes:.2f} MB and {self.lines} lines."
+        return f"read {self.lines} lines ({self.megabytes:.2f} MB) in {self.seconds:.2f} s"
 
 
 class Table:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.badrows import CONNECTIONS, classify_rows
-from logloom.operators.lines import MONTHS, host_key, once_per_line, read_table, usable_instant
+from logloom.operators.lines import MONTHS, host_key, once_per_line, read_table, spread, usable_instant
 from logloom.operators.logentries import log_entries
 from logloom.operators.sessions import sessionize
 from logloom.operators.treeagg import tree_count
@@ -29,27 +29,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _with_file(spark, sf_dir, "split").select("file_id", "line_no", "line")
-    return classify_rows(once_per_line(lines), "line", CONNECTIONS, keep=("file_id", "line_no"))
+    """All delivered rows classified: copies are dropped by the queries, once only what they ask for is left."""
+    return classify_rows(_with_file(spark, sf_dir, "split"), "line", CONNECTIONS, keep=("file_id", "line_no"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _split_rows(spark, sf_dir).where("reason IS NOT NULL").select("file_id", "line_no", "reason")
+    return _split_rows(spark, sf_dir).where("reason IS NOT NULL").select("file_id", "line_no", "reason").distinct()
 
 
 def p6_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bad lines with their first broken field."""
-    return _split_rows(spark, sf_dir).where("reason IS NOT NULL").select("file_id", "line_no", "reason", "field")
+    return _split_rows(spark, sf_dir).where("reason IS NOT NULL").select("file_id", "line_no", "reason", "field").distinct()
 
 
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sound lines as typed rows."""
-    return _split_rows(spark, sf_dir).where("reason IS NULL").select("file_id", "line_no", "row.*")
+    return _split_rows(spark, sf_dir).where("reason IS NULL").select("file_id", "line_no", "row.*").distinct()
 
 
 def _with_file(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     files = read_table(spark, sf_dir, "log_files").where(F.col("kind") == kind).select("file_id", "opened_at")
-    return read_table(spark, sf_dir, "connections").select("file_id", "line_no", "line").join(files, "file_id")
+    return spread(read_table(spark, sf_dir, "connections").select("file_id", "line_no", "line")).join(files, "file_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

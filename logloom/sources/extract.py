@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.convert import parse_text
-from logloom.operators.lines import month_number
+from logloom.operators.lines import month_number, worked_out_once
 from logloom.plans.errors import BindError, PatternError
 from logloom.plans.tree import ColumnDef, Reference, TableDef
 from logloom.plans.types import BOOLEAN, INT, REAL, TEXT, TIMESTAMP, SqlType
@@ -57,7 +57,7 @@ class Extractor:
         relevant = [c for c in self.table.columns if c.name in names or c in deciding]
         d, group, matched = self._prepare(d, line, relevant, proof)
         if any(c.path for c in relevant):
-            d = _once(d, "_json", F.try_parse_json(line))
+            d = worked_out_once(d, "_json", F.try_parse_json(line))
         columns = {c.name: self._column(c, group, matched) for c in relevant}
         strict = [columns[c.name].isNotNull() for c in deciding if c.not_null]
         if strict:
@@ -107,7 +107,7 @@ class Extractor:
             java = FLAGS + compiled.java
             if p.split:
                 if used[p.name] - {0}:
-                    d = _once(d, found, F.split(line, java, -1))
+                    d = worked_out_once(d, found, F.split(line, java, -1))
                 for g in used[p.name]:
                     cells[p.name, g] = line if g == 0 else F.get(F.col(found), F.lit(g - 1))
                 matches[p.name] = line.isNotNull()
@@ -117,7 +117,7 @@ class Extractor:
                 # As many parts as groups come out if the pattern matches, else the line alone.
                 single = F.array(*[F.regexp_extract(line, java, g) for g in groups])
                 packed = F.split(F.regexp_replace(line, rf"\A(?s:.*?)(?:{java})(?s:.*)\z", _SEPARATOR.join(f"${g}" for g in groups)), _SEPARATOR, -1)
-                d = _once(d, found, F.when(F.contains(line, F.lit(_SEPARATOR)), F.when(line.rlike(java), single)).otherwise(packed))
+                d = worked_out_once(d, found, F.when(F.contains(line, F.lit(_SEPARATOR)), F.when(line.rlike(java), single)).otherwise(packed))
                 matched = F.coalesce(F.size(found) == len(groups), F.lit(False))
                 texts = {g: F.when(matched, F.get(F.col(found), F.lit(i))) for i, g in enumerate(groups)}
             else:
@@ -185,15 +185,6 @@ class Extractor:
         return F.when(found.isNotNull(), value).otherwise(default)
 
 
-def _once(d: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is worked out once for each row.
-
-    Were it projected, predicates on it would be pushed below the projection and work it out once more for each mention; they aren't pushed
-    below the explosion of an array of one.
-    """
-    return d.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _typed(value: Column, kind: SqlType) -> Column:
     """A JSON value of exactly this type: whole numbers for INT, any for REAL, strings for TEXT; arrays item by item; else NULL."""
     is_kind = F.schema_of_variant(value)

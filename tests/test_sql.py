@@ -365,7 +365,7 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
     assert capsys.readouterr().out == "ip: '1.2.3.4', n: 5\n"
     assert cli.main([*base, "--format", "json", "--show-run-stats", "-c", "SELECT COUNT(*) AS n FROM connections"]) == 0
     out = capsys.readouterr().out.splitlines()
-    assert json.loads(out[0]) == {"n": 4} and re.match(r"Executed query in .* seconds", out[1])
+    assert json.loads(out[0]) == {"n": 4} and re.match(r"read 5 lines \(.* MB\) in .* s", out[1])
     assert cli.main([*base, "-c", "SELECT nope FROM connections"]) == 1
     answers = iter(["\\d", "\\d connections", "SELECT n", "FROM connections LIMIT 1;", "oops;", "exit"])
     monkeypatch.setattr("builtins.input", lambda _: next(answers))
