@@ -14,16 +14,20 @@ from logloom.llm.frequent import frequent_values
 from logloom.llm.leakage import leaked_items
 from logloom.llm.sentences import sentence_units
 from logloom.llm.spark import cut_lineage
-from logloom.operators.lines import host_key, once_per_line, read_table, usable_instant
+from logloom.operators.lines import host_key, once_per_line, read_table, spread, usable_instant
 from logloom.queries import USABLE_SQL
 
 #: Hashes in a sketch, and standard errors of the bounds within which a group is decided by its estimate.
 K, SIGMAS = 4096, 5.0
 
 
+def _p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "connections").select("file_id", "line_no", "ip", usable_instant().alias("at_s")).where("at_s IS NOT NULL")
+
+
 def _p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd")
-    rows = read_table(spark, sf_dir, "connections").select("file_id", "line_no", "ip", usable_instant().alias("at_s")).where("at_s IS NOT NULL")
+    rows = _p4_rows(spark, sf_dir)
     return once_per_line(rows).join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id").select("site", day.alias("day"), "ip")
 
 
@@ -47,8 +51,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = cut_lineage(groups.where(F.col("high") * 2 >= F.col("n_rows")))
     sure, doubtful = groups.where(F.col("low") * 2 >= F.col("n_rows")), groups.where(F.col("low") * 2 < F.col("n_rows"))
     # What the bounds leave open is counted exactly: only the lines of these groups, their distinct addresses first.
-    rows = read_table(spark, sf_dir, "connections").select("file_id", "ip", usable_instant().alias("at_s")).where("at_s IS NOT NULL")
-    rows = rows.join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id")
+    rows = _p4_rows(spark, sf_dir).join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id")
     day = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd")
     pairs = rows.select("ip", _p4_groups(day, F.col("site")).alias("g")).select("ip", "g.*").join(doubtful.select("period", "site", "n_rows"), ["period", "site"])
     exact = pairs.distinct().groupBy("period", "site", "n_rows").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= F.col("n_rows"))
@@ -69,8 +72,12 @@ def p4_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(before, ["site", "day"]).select("site", F.date_format("day", "yyyy-MM-dd").alias("day"), *[c.alias(n) for n, c in ops.items()])
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "connections").select(host_key(F.col("hostname")).alias("hostname"), F.when(F.col("ip") != "", F.col("ip")).alias("ip"))
+    rows = spread(read_table(spark, sf_dir, "connections").select("hostname", "ip")).select(host_key(F.col("hostname")).alias("hostname"), F.when(F.col("ip") != "", F.col("ip")).alias("ip"))
     return frequent_values(rows, ["hostname", "ip"], 0.01)
 
 
@@ -83,11 +90,11 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text", os.environ.get("LOGLOOM_VOCABULARY", VOCABULARY))
+    return encode_texts(_documents(spark, sf_dir), "doc_id", "text", os.environ.get("LOGLOOM_VOCABULARY", VOCABULARY))
 
 
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+    return leaked_items(_documents(spark, sf_dir), read_table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +107,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_units(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentence_units(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A small intermediate table in the checkpoint folder that the session names; only where none is named, as in tests, in a local one."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    """A small intermediate table, written to the checkpoint folder that the session names in spark.checkpoint.dir.
+
+    Only a local session without such a folder, as in tests, gets one of its own; on a cluster its absence is an error.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("the session must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint()
 
 
