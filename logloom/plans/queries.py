@@ -45,7 +45,7 @@ EMBEDDINGS = "CREATE TABLE embeddings({ .id } => id INT, { .v } => v REAL[], { .
 def _of_kind(kind: str):
     def lines(spark: SparkSession, d: str) -> DataFrame:
         files = read_table(spark, d, "log_files").where(F.col("kind") == kind).select("file_id")
-        return spread(read_table(spark, d, "connections").select("file_id", "line", "conn_id")).join(files, "file_id").select(without_cr(F.col("line")).alias("value"), F.struct("conn_id").alias("_order"))
+        return spread(read_table(spark, d, "connections").select("file_id", "line", "conn_id"), "conn_id").join(files, "file_id").select(without_cr(F.col("line")).alias("value"), F.struct("conn_id").alias("_order"))
 
     return lines
 
@@ -59,7 +59,7 @@ def _column(table: str, key: str):
 
 def _rendered(table: str, expression: str, key: str):
     def lines(spark: SparkSession, d: str) -> DataFrame:
-        return spread(read_table(spark, d, table)).select(F.expr(expression).alias("value"), F.expr(f"struct({key})").alias("_order"))
+        return spread(read_table(spark, d, table), *key.split(", ")).select(F.expr(expression).alias("value"), F.expr(f"struct({key})").alias("_order"))
 
     return lines
 

@@ -49,7 +49,7 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_file(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     files = read_table(spark, sf_dir, "log_files").where(F.col("kind") == kind).select("file_id", "opened_at")
-    return spread(read_table(spark, sf_dir, "connections").select("file_id", "line_no", "line")).join(files, "file_id")
+    return spread(read_table(spark, sf_dir, "connections").select("file_id", "line_no", "line"), "file_id", "line_no").join(files, "file_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
