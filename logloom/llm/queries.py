@@ -73,7 +73,7 @@ def p4_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
