@@ -64,16 +64,6 @@ def worked_out_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows of a scan over at least as many tasks as there are cores: a table in few small files would keep few of them busy.
-
-    A table of many files or splits, as at scale, is left as it is, without shuffle. Rows go by the hash of ``keys``, which should tell them
-    apart; without any they are dealt out in turn, which has to sort them first.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def once_per_line(df: DataFrame) -> DataFrame:
     """One row for each delivered line, of rows that hold its file, its number and what is read of it.
 
