@@ -14,7 +14,7 @@ from logloom.llm.frequent import frequent_values
 from logloom.llm.leakage import leaked_items
 from logloom.llm.sentences import sentence_units
 from logloom.llm.spark import cut_lineage
-from logloom.operators.lines import host_key, once_per_line, read_table, spread, usable_instant
+from logloom.operators.lines import host_key, once_per_line, read_table, usable_instant
 from logloom.queries import USABLE_SQL
 
 #: Hashes in a sketch, and standard errors of the bounds within which a group is decided by its estimate.
@@ -73,11 +73,11 @@ def p4_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(read_table(spark, sf_dir, "connections").select("hostname", "ip")).select(host_key(F.col("hostname")).alias("hostname"), F.when(F.col("ip") != "", F.col("ip")).alias("ip"))
+    rows = read_table(spark, sf_dir, "connections").select(host_key(F.col("hostname")).alias("hostname"), F.when(F.col("ip") != "", F.col("ip")).alias("ip"))
     return frequent_values(rows, ["hostname", "ip"], 0.01)
 
 
