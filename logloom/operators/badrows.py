@@ -1,7 +1,7 @@
 """Delimited rows: sound ones typed, broken ones with the reason and the first broken field.
 
 All patterns are generated from the schema. One anchored pattern decides whether a whole row is sound; only rows that fail it go through
-the patterns of growing field prefixes, the first of which that fails names the field. Everything runs as Java patterns in generated code;
+the patterns of growing field prefixes: the first that fails names the field, and what stands from there on gives the reason. Everything runs as Java patterns in generated code;
 repetitions are possessive, so that very long rows need no backtracking and no deep stack.
 """
 
@@ -38,18 +38,16 @@ class RowSchema:
 
     @property
     def any_field(self) -> str:
-        d = re.escape(self.delimiter)
-        return rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{d}]*+)'
+        return rf'(?:{self.quoted_field}|[^"{re.escape(self.delimiter)}]*+)'
 
     @property
-    def well_quoted(self) -> str:
-        d = re.escape(self.delimiter)
-        return rf"\A{self.any_field}(?:{d}{self.any_field})*+\z"
+    def quoted_field(self) -> str:
+        return r'"[^"]*+(?:""[^"]*+)*+"'
 
     @property
-    def right_width(self) -> str:
-        d = re.escape(self.delimiter)
-        return rf"\A{self.any_field}(?:{d}{self.any_field}){{{len(self.fields) - 1}}}\z"
+    def rest_well_quoted(self) -> str:
+        """Matches what follows sound fields if no quotes in it are broken: nothing, or fields each after its delimiter."""
+        return rf"\A(?:{re.escape(self.delimiter)}{self.any_field})*+\z"
 
     def _valid(self, field: Field) -> str:
         return rf'(?:"(?:{field.pattern})"|(?:{field.pattern}))'
@@ -59,9 +57,9 @@ class RowSchema:
         return rf"\A{re.escape(self.delimiter).join(map(self._valid, self.fields))}\z"
 
     def prefix(self, k: int) -> str:
-        """Matches rows whose first ``k`` fields are valid."""
+        """Matches the first ``k`` fields of rows in which these are valid."""
         d = re.escape(self.delimiter)
-        return rf"\A{d.join(map(self._valid, self.fields[:k]))}(?:{d}|\z)"
+        return rf"\A{d.join(map(self._valid, self.fields[:k]))}(?={d}|\z)"
 
     @property
     def captures(self) -> str:
@@ -96,7 +94,7 @@ def classify_rows(df: DataFrame, line: str, schema: RowSchema, keep: Sequence[st
 
     The reason is ``quoting`` for broken or unclosed quotes, else ``column_count`` for another number of fields, else ``invalid_value``.
     ``field`` is the name of the first field that breaks the row, ``instant`` where only all date and time fields together do; it is NULL
-    for a broken count. One trailing carriage return is no part of a row. NULL, blank and header lines are no rows and don't come out.
+    for a broken count and where quotes are broken only after the last of the schema's fields. One trailing carriage return is no part of a row. NULL, blank and header lines are no rows and don't come out.
     Copies come out as often as they stand there. An empty input gives no rows.
     """
     # Columns are held in a struct until the end: no name of the input can clash with those made here.
@@ -111,17 +109,22 @@ def classify_rows(df: DataFrame, line: str, schema: RowSchema, keep: Sequence[st
     cells = {f.name: F.get(F.col("_cells"), F.lit(i)) for i, f in enumerate(schema.fields)}
     typed = {f.name: (cells[f.name] if f.type == "string" else cells[f.name].try_cast(f.type)) for f in schema.fields}
     sound = shaped & (instant_seconds(*[typed[x] for x in schema.instant]).isNotNull() if schema.instant else F.lit(True))
-    reason = (
-        F.when(sound, F.lit(""))
-        .when(shaped, INVALID_VALUE)
-        .when(~text.rlike(schema.well_quoted), QUOTING)
-        .when(~text.rlike(schema.right_width), COLUMN_COUNT)
-        .otherwise(INVALID_VALUE)
-    )
-    d = worked_out_once(d, "_reason", reason)
-    is_sound = F.col("_reason") == ""
-    broken = F.when(is_sound | (F.col("_reason") == COLUMN_COUNT), None).when(shaped, "instant")
-    for k, f in enumerate(schema.fields, 1):
-        broken = broken.when(~text.rlike(schema.prefix(k)), f.name)
+    # Rows that aren't sound go through the prefixes: the first that fails stands at the first broken field, and what follows the sound fields
+    # before it gives the reason, as those can break nothing.
+    at = F.when(sound, 0).when(shaped, n + 1)
+    for k in range(1, n + 1):
+        at = at.when(~text.rlike(schema.prefix(k)), k)
+    d = worked_out_once(d, "_at", at.otherwise(n + 1))
+    rest = F.when(F.col("_at") == 1, F.concat(F.lit(schema.delimiter), text))
+    for k in range(1, n + 1):
+        rest = rest.when(F.col("_at") == k + 1, F.regexp_replace(text, schema.prefix(k), ""))
+    d = worked_out_once(d, "_rest", rest)
+    bare = F.regexp_replace("_rest", schema.quoted_field, "")
+    width = F.col("_at") - 1 + F.char_length(bare) - F.char_length(F.replace(bare, F.lit(schema.delimiter), F.lit("")))
+    reason = F.when(~F.col("_rest").rlike(schema.rest_well_quoted), QUOTING).when(width != n, COLUMN_COUNT).otherwise(INVALID_VALUE)
+    d = worked_out_once(d, "_reason", F.when(F.col("_at") > 0, reason))
+    is_sound = F.col("_reason").isNull()
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    broken = F.when(F.col("_reason") != COLUMN_COUNT, F.when(F.col("_rest") == "", "instant").otherwise(F.get(names, F.col("_at") - 1)))
     row = F.when(is_sound, F.struct(*[v.alias(x) for x, v in typed.items()]))
-    return d.select(*[F.col("_keep")[k].alias(k) for k in keep], F.when(~is_sound, F.col("_reason")).alias("reason"), broken.alias("field"), row.alias("row"))
+    return d.select(*[F.col("_keep")[k].alias(k) for k in keep], F.col("_reason").alias("reason"), broken.alias("field"), row.alias("row"))

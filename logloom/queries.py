@@ -76,6 +76,21 @@ w AS (SELECT *, len(v) = 8 AND list_bool_and(list_transform(string_split(v[1], '
 c AS (SELECT *, flat AND try_cast(format('{{:04d}}-{{:02d}}-{{:02d}} {{:02d}}:{{:02d}}:{{:02d}}', coalesce(try_cast(v[3] AS BIGINT), 0), coalesce({_MONTH_SQL.replace('lower(month)', 'lower(v[4])')}, 0)::BIGINT,
     coalesce(try_cast(v[5] AS BIGINT), 0), coalesce(try_cast(v[6] AS BIGINT), 99), coalesce(try_cast(v[7] AS BIGINT), 99), coalesce(try_cast(v[8] AS BIGINT), 99)) AS TIMESTAMP) IS NOT NULL AND v[3] >= '1000' AND coalesce(try_cast(v[8] AS BIGINT), 99) < 60 sound FROM w)"""
 
+_REASON_SQL = "CASE WHEN NOT q THEN 'quoting' WHEN len(v) <> 8 THEN 'column_count' ELSE 'invalid_value' END"
+_OCTET_SQL = "(?:[01]?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])"
+_VALUES_SQL = {
+    "ip": rf"{_OCTET_SQL}\.{_OCTET_SQL}\.{_OCTET_SQL}\.{_OCTET_SQL}", "hostname": r"(?:[A-Za-z0-9_-]{1,63}(?:\.[A-Za-z0-9_-]{1,63})*\.?)?", "year": "[0-9]{4}",
+    "month": f"(?i:{'|'.join(MONTHS)})", "day": "[0-9]{1,2}", "hour": "[0-9]{1,2}", "minute": "[0-9]{1,2}", "second": "[0-9]{1,2}",
+}
+
+
+def _first_broken_sql() -> str:
+    names, cases = list(_VALUES_SQL), ""
+    for k, name in enumerate(names, 1):
+        prefix = ";".join(f'(?:{_VALUES_SQL[x]}|"{_VALUES_SQL[x]}")' for x in names[:k])
+        cases += f" WHEN NOT regexp_matches(line, '^(?:{prefix})(?:;|$)') THEN '{name}'"
+    return f"CASE WHEN q AND len(v) <> 8 THEN NULL{cases} WHEN q THEN 'instant' END"
+
 
 _LEVEL_SQL = "(map {'debug': 'DEBUG', 'trace': 'DEBUG', 'info': 'INFO', 'notice': 'INFO', 'warn': 'WARN', 'warning': 'WARN', 'error': 'ERROR', 'severe': 'ERROR', 'fatal': 'FATAL', 'crit': 'FATAL', 'panic': 'FATAL'})"
 _NAMES_SQL = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
@@ -125,6 +140,7 @@ SELECT ip, min(at_s) start_s, max(at_s) end_s, max(at_s) - min(at_s) duration_s,
 WITH l AS (SELECT file_id, line_no, any_value(ip) ip, any_value(hostname) h FROM connections WHERE hostname IS NOT NULL GROUP BY file_id, line_no),
 k AS (SELECT ip, regexp_replace(lower(CASE WHEN length(h) > 1 AND starts_with(h, '"') AND ends_with(h, '"') THEN substr(h, 2, length(h) - 2) ELSE h END), '\\.$', '') host_key FROM l)
 SELECT host_key, count(*)::BIGINT n_lines, count(DISTINCT nullif(ip, ''))::BIGINT n_ips FROM k WHERE host_key <> '' GROUP BY host_key""",
-        "p6_found": _BAD_SQL + "\nSELECT file_id, line_no, CASE WHEN NOT q THEN 'quoting' WHEN len(v) <> 8 THEN 'column_count' ELSE 'invalid_value' END reason FROM c WHERE NOT coalesce(sound, false)",
+        "p6_found": _BAD_SQL + "\nSELECT file_id, line_no, " + _REASON_SQL + " reason FROM c WHERE NOT coalesce(sound, false)",
+        "p6_fields": _BAD_SQL + "\nSELECT file_id, line_no, " + _REASON_SQL + " reason, " + _first_broken_sql() + " field FROM c WHERE NOT coalesce(sound, false)",
         "p6_loaded": _BAD_SQL + "\nSELECT file_id, line_no, v[1] ip, v[2] hostname, v[3]::BIGINT \"year\", v[4] \"month\", v[5]::BIGINT \"day\", v[6]::BIGINT \"hour\", v[7]::BIGINT \"minute\", v[8]::BIGINT \"second\" FROM c WHERE sound",
     }

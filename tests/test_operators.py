@@ -143,6 +143,14 @@ LINES = {
     "10.0.0.1;a;2004;Feb;29;2;3;4": None,
     "10.0.0.1;a;2005;May;1;24;3;4": ("invalid_value", "instant"),
     "10.0.0.1;a;2005;May;0;2;3;4": ("invalid_value", "instant"),
+    '10.0.0.1;a;2005;May;1;2;3;4;"x': ("quoting", None),
+    '10.0.0.1;a;2005;May;1;2;3;4;"x"': ("column_count", None),
+    '10.0.0.1;"a;b";2005;May;1;2;3': ("column_count", None),
+    '10.0.0.256;a;2005;May;1;2;3;"4': ("quoting", "ip"),
+    "10.0.0.256;a;2005": ("column_count", None),
+    '10.0.0.1;"a";2005;May;1;2;3;': ("invalid_value", "second"),
+    '10.0.0.1;"a""b";2005;"M;y";1;2;3;4': ("invalid_value", "hostname"),
+    "10.0.0.1": ("column_count", None),
     "ip;hostname;year;month;day;hour;minute;second": "none",
     "\ufeffip;hostname;year;month;day;hour;minute;second\r": "none",
     "": "none",
@@ -169,6 +177,12 @@ def test_bad_rows(spark):
     assert classify_rows(df.limit(0), "line", CONNECTIONS, keep=("id",)).collect() == []
 
 
+def test_the_reason_comes_from_the_prefixes(spark):
+    df = spark.createDataFrame([("10.0.0.1;a",)], "line string")
+    plan = classify_rows(df, "line", CONNECTIONS).where("reason IS NOT NULL").select("reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=;|") >= len(CONNECTIONS.fields)
+
+
 def test_bad_rows_of_another_schema(spark):
     schema = RowSchema((Field("k", "[a-z]+"), Field("n", "-?[0-9]+", "int")), delimiter="|")
     df = spark.createDataFrame([("a|1",), ('"b"|-2',), ("a|x",), ("a",), ("A|1",)], "line string")
