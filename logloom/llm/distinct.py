@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.spark import rounds_for, shuffle_partitions
+from logloom.llm.spark import rounds_for, task_count
 
 #: A task's unsent sketches hold at most so many hashes; beyond, they are sent on as partial results and begun anew.
 MAX_HELD = 4_000_000
@@ -59,7 +59,8 @@ def kmv_sketches(df: DataFrame, groups: Sequence[str], item: str, k: int = 4096,
 
     A NULL in a group column is a group of its own; NULL and empty items count as rows and aren't in the sketch; repeated rows count each
     for n_rows and once for the sketch; an empty input gives no rows. Each task keeps one sketch a group of its own rows, within MAX_HELD
-    hashes; sketches are then merged in rounds by ``fan_in``, so that no reducer receives all partial sketches of a group.
+    hashes, so that rows needn't be shuffled. The tasks' sketches of a group are merged by ``fan_in`` in as many rounds as there are tasks
+    to merge.
     """
     if k < 16:
         raise ValueError("k must be at least 16")
@@ -89,23 +90,50 @@ def kmv_sketches(df: DataFrame, groups: Sequence[str], item: str, k: int = 4096,
 
     key = F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)]))
     hashed = F.when(F.col(item).isNotNull() & (F.col(item).cast("string") != ""), F.xxhash64(F.col(item)))
-    parts = df.select(key.alias("g"), hashed.alias("h")).mapInArrow(local, "g string, n_rows bigint, sketch array<bigint>").withColumn("at", F.spark_partition_id())
-    parts = merge_sketches(parts, ["g"], k, fan_in, shuffle_partitions(df.sparkSession))
+    source = df.select(key.alias("g"), hashed.alias("h"))
+    parts = source.mapInArrow(local, "g string, n_rows bigint, sketch array<bigint>").withColumn("at", F.spark_partition_id())
+    parts = merge_sketches(parts, ["g"], k, fan_in, task_count(source))
     names = F.from_json("g", ", ".join(f"g{i} string" for i in range(len(groups))))
     return parts.select(*[names[f"g{i}"].alias(g) for i, g in enumerate(groups)], "n_rows", "sketch")
 
 
+def united(sketches: Iterator[np.ndarray], k: int) -> np.ndarray:
+    """The k smallest distinct hashes of all sketches; never more than two of them are held at once."""
+    out = np.array([], dtype=np.int64)
+    for s in sketches:
+        out = np.unique(np.concatenate((out, s)))[:k]
+    return out
+
+
 def merge_sketches(parts: DataFrame, keys: Sequence[str], k: int, fan_in: int = 16, states: int = 1) -> DataFrame:
-    """Unites the sketches of rows with equal ``keys`` and adds up n_rows; ``at`` numbers the partial states of a key if there may be many."""
-    united = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, k).alias("sketch")
-    rounds = rounds_for(states, fan_in)
-    for r in range(rounds):
-        last = r == rounds - 1
-        by = [*keys] if last else [*keys, "at"]
-        if not last:
-            parts = parts.withColumn("at", F.floor(F.col("at") / fan_in))
-        parts = parts.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), united)
-    return parts
+    """Unites the sketches of rows with equal ``keys`` (strings, NULL being a key) and adds up n_rows: (keys..., n_rows, sketch).
+
+    ``at`` tells the partial states of a key apart by numbers below ``states``; neighbours are merged by ``fan_in`` in rounds. However many
+    rows a group of a round has, they are read in batches and united as they come, cut to k each time.
+    """
+    schema = pa.schema([*((c, pa.string()) for c in keys), ("n_rows", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+
+        def sketches() -> Iterator[np.ndarray]:
+            nonlocal n
+            for b in batches:
+                n += sum(x or 0 for x in b.column(b.schema.get_field_index("n_rows")).to_pylist())
+                yield b.column(b.schema.get_field_index("sketch")).flatten().to_numpy()
+
+        sketch = united(sketches(), k)
+        yield pa.RecordBatch.from_arrays([*(pa.array([v.as_py()], pa.string()) for v in key[: len(keys)]), pa.array([n], pa.int64()), pa.array([sketch], pa.list_(pa.int64()))], schema=schema)
+
+    def merge_slot(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in merge(key, batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([key[-1].as_py()], pa.int64())], names=[*b.schema.names, "at"])
+
+    columns = ", ".join(f"`{c}` string" for c in keys) + ", n_rows bigint, sketch array<bigint>"
+    parts = parts.select(*[F.col(c).cast("string").alias(c) for c in keys], "n_rows", "sketch", F.col("at").cast("bigint").alias("at") if states > 1 else F.lit(0).cast("bigint").alias("at"))
+    for _ in range(rounds_for(states, fan_in) - 1):
+        parts = parts.withColumn("at", F.floor(F.col("at") / fan_in)).groupBy(*keys, "at").applyInArrow(merge_slot, columns + ", at bigint")
+    return parts.drop("at").groupBy(*keys).applyInArrow(merge, columns)
 
 
 def _fraction(hash_value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.spark import rounds_for
+from logloom.llm.spark import rounds_for, task_count
 
 _SUMMARY = "field string, slot bigint, total bigint, missed bigint, items array<string>, counts array<bigint>, errors array<bigint>"
 _SCHEMA = pa.schema([("field", pa.string()), ("slot", pa.int64()), ("total", pa.int64()), ("missed", pa.int64()), ("items", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("errors", pa.list_(pa.int64()))])
@@ -66,12 +66,12 @@ class SpaceSaving:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((field, slot, self.total, self.missed, v, [self.counts[x] for x in v], [self.errors[x] for x in v]), _SCHEMA.types)], schema=_SCHEMA)
 
 
-def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_in: int = 16, states: int = 4096) -> DataFrame:
+def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_in: int = 16) -> DataFrame:
     """One summary row for each field: (field, total, missed, items, counts, errors).
 
     ``total`` counts all rows, with NULL or not; NULL values are in no summary; an empty string is a value. An empty input gives no rows.
-    A task holds at most 4 * size values of each field. Summaries of neighbouring tasks are merged by ``fan_in`` in rounds, as many as
-    ``states`` tasks need; with more tasks than that only the last round, of already merged summaries, becomes wider.
+    A task holds at most 4 * size values of each field. Summaries of neighbouring tasks are merged by ``fan_in``, in as many rounds as
+    the number of tasks takes, one at a time as they are read.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +85,16 @@ def frequent_summaries(df: DataFrame, fields: list[str], size: int = 4096, fan_i
             if s.total:
                 yield s.row(f, TaskContext.get().partitionId())
 
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = SpaceSaving(size)
-        for r in table.select(["total", "missed", "items", "counts", "errors"]).to_pylist():
-            state.merge(**r)
-        return pa.Table.from_batches([state.row(key[0].as_py(), key[1].as_py())])
+        for b in batches:
+            for r in range(b.num_rows):
+                state.merge(**b.slice(r, 1).select(["total", "missed", "items", "counts", "errors"]).to_pylist()[0])
+        yield state.row(key[0].as_py(), key[1].as_py())
 
     source = df.select(*[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     parts = source.mapInArrow(local, _SUMMARY)
-    rounds = rounds_for(states, fan_in)
+    rounds = rounds_for(task_count(source), fan_in)
     for r in range(1, rounds + 1):
         slot = F.floor(F.col("slot") / fan_in) if r < rounds else F.lit(0).cast("bigint")
         parts = parts.withColumn("slot", slot).groupBy("field", "slot").applyInArrow(merged, _SUMMARY)

@@ -22,13 +22,13 @@ K, SIGMAS = 4096, 5.0
 
 
 def _p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "connections").select("file_id", "line_no", "ip", usable_instant().alias("at_s")).where("at_s IS NOT NULL")
+    """The delivered usable lines: file, line number, address and day, as a number of days since 1970 (the session's zone has no part in it)."""
+    rows = read_table(spark, sf_dir, "connections").select("file_id", "line_no", "ip", usable_instant().alias("at_s")).where("at_s IS NOT NULL")
+    return rows.select("file_id", "line_no", "ip", F.floor(F.col("at_s") / 86400).cast("int").alias("day"))
 
 
-def _p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd")
-    rows = _p4_rows(spark, sf_dir)
-    return once_per_line(rows).join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id").select("site", day.alias("day"), "ip")
+def _with_site(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rows.join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id").withColumn("day", F.date_from_unix_date("day").cast("string"))
 
 
 def _p4_groups(day: F.Column, site: F.Column) -> F.Column:
@@ -37,25 +37,46 @@ def _p4_groups(day: F.Column, site: F.Column) -> F.Column:
     return F.explode(F.array(*[F.struct(p.alias("period"), s.alias("site")) for p, s in pairs]))
 
 
-def _p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(period, site, n_rows, sketch): days and sites are counted once; the wider groups come from merging their sketches."""
-    daily = kmv_sketches(_p4_lines(spark, sf_dir), ["day", "site"], "ip", K)
-    wide = daily.select(_p4_groups(F.col("day"), F.col("site")).alias("g"), "n_rows", "sketch").select("g.*", "n_rows", "sketch")
-    # A month has at most 31 days; those of all sites of a day are merged in rounds, by their names' hashes.
-    return merge_sketches(wide.withColumn("at", F.pmod(F.xxhash64("sketch"), F.lit(256))), ["period", "site"], K, 16, 256)
+def _p4_sketches(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    """(period, site, n_rows, sketch): days of sites are sketched; the wider groups come from merging their sketches.
 
+    A sketch doesn't care how often a line was delivered, so that rows are sketched where they are read. Only the number of lines needs each
+    line once: file, line number and day are shuffled for it, no address.
+    """
+    rows = _p4_rows(spark, sf_dir)
+    daily = kmv_sketches(_with_site(spark, sf_dir, rows), ["day", "site"], "ip", k).select("day", "site", F.lit(0).cast("bigint").alias("n_rows"), "sketch")
+    counts = once_per_line(rows.select("file_id", "line_no", "day")).groupBy("file_id", "day").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = _with_site(spark, sf_dir, counts).groupBy("day", "site").agg(F.sum("n_rows").alias("n_rows")).select("day", "site", "n_rows", F.array().cast("array<bigint>").alias("sketch"))
+    both = daily.union(counted)
+    wide = both.select(_p4_groups(F.col("day"), F.col("site")).alias("g"), F.pmod(F.xxhash64("day", "site"), F.lit(256)).alias("at"), "n_rows", "sketch")
+    # A month has at most 31 days; a day at all sites, of which there may be many, is merged in two rounds.
+    return merge_sketches(wide.select("g.*", "at", "n_rows", "sketch"), ["period", "site"], k, 16, 256)
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, high = kmv_bounds(F.col("sketch"), K, SIGMAS)
-    groups = _p4_sketches(spark, sf_dir).where("n_rows >= 20").select("period", "site", "n_rows", low.alias("low"), high.alias("high"))
+
+#: So many groups left open by the bounds are broadcast to the exact count; more are joined by their keys.
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def _dense_groups(spark: SparkSession, sf_dir: str, k: int = K, sigmas: float = SIGMAS) -> DataFrame:
+    low, high = kmv_bounds(F.col("sketch"), k, sigmas)
+    groups = _p4_sketches(spark, sf_dir, k).where("n_rows >= 20").select("period", "site", "n_rows", low.alias("low"), high.alias("high"))
     groups = cut_lineage(groups.where(F.col("high") * 2 >= F.col("n_rows")))
     sure, doubtful = groups.where(F.col("low") * 2 >= F.col("n_rows")), groups.where(F.col("low") * 2 < F.col("n_rows"))
+    sure, n_open = sure.select("period", "site"), doubtful.count()
+    if not n_open:
+        return sure
     # What the bounds leave open is counted exactly: only the lines of these groups, their distinct addresses first.
-    rows = _p4_rows(spark, sf_dir).join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id")
-    day = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd")
-    pairs = rows.select("ip", _p4_groups(day, F.col("site")).alias("g")).select("ip", "g.*").join(doubtful.select("period", "site", "n_rows"), ["period", "site"])
+    rows = _with_site(spark, sf_dir, _p4_rows(spark, sf_dir)).select("ip", _p4_groups(F.col("day"), F.col("site")).alias("g")).select("ip", "g.*")
+    doubtful = doubtful.select("period", "site", "n_rows")
+    pairs = rows.join(F.broadcast(doubtful) if n_open <= MAX_BROADCAST_GROUPS else doubtful, ["period", "site"])
     exact = pairs.distinct().groupBy("period", "site", "n_rows").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= F.col("n_rows"))
-    return sure.select("period", "site").union(exact.select("period", "site"))
+    return sure.union(exact.select("period", "site"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of at least 20 lines whose distinct addresses number at least half of them: decided by the bounds of their sketches, five
+    standard errors away, or, where these leave it open, by an exact count."""
+    return _dense_groups(spark, sf_dir)
 
 
 def p4_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

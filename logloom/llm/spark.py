@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TASKS = re.compile(r"(?:hashpartitioning|rangepartitioning)\(.*?, (\d+)\)|RoundRobinPartitioning\((\d+)\)")
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A small intermediate table, written to the checkpoint folder that the session names in spark.checkpoint.dir.
 
-    Only a local session without such a folder, as in tests, gets one of its own; on a cluster its absence is an error.
+    A local session that names none, as in tests, gets one of its own, removed at its end; on a cluster its absence is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("the session must name a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("the session must name a shared folder in spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def task_count(df: DataFrame) -> int:
+    """How many tasks the rows of ``df`` come from: its splits, or, after shuffles, the most tasks of one (of which fewer may be left).
+
+    Nothing is run but what the plan broadcasts.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    shuffled = [int(a or b) for a, b in _TASKS.findall(plan)]
+    return max(1, *shuffled, 1) if shuffled else max(1, df.rdd.getNumPartitions())
 
 
 def rounds_for(states: int, fan_in: int) -> int:
     """Rounds of merging by ``fan_in`` until one of ``states`` is left."""
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
     rounds, left = 0, max(1, states)
     while left > 1:
         left, rounds = -(-left // fan_in), rounds + 1

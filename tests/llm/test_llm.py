@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe
-from logloom.llm.distinct import kmv_bounds, kmv_estimate, kmv_set_operations, kmv_sketches, merge_sketches
+from logloom.llm import queries as llm_queries
+from logloom.llm.distinct import kmv_bounds, kmv_estimate, kmv_set_operations, kmv_sketches, merge_sketches, united
 from logloom.llm.frequent import SpaceSaving, frequent_summaries, frequent_values
 from logloom.llm.leakage import ItemIndex, greedy_tiles, leaked_items, rolled, words_of
 from logloom.llm.sentences import blocks, sentence_units, units
+from logloom.llm.spark import rounds_for, task_count
 
 
 def rows(df):
@@ -44,6 +46,8 @@ def test_estimates_lie_in_their_bounds_and_merge(spark):
     for r in s.select("g", low.alias("low"), high.alias("high"), F.size("sketch").alias("n")).collect():
         assert r["n"] == k and r["low"] <= {"a": 40000, "b": 20000}[r["g"]] <= r["high"]
     whole = merge_sketches(s.select(F.lit("all").alias("g"), "n_rows", "sketch"), ["g"], k).first()
+    rounds = merge_sketches(s.select(F.lit("all").alias("g"), "n_rows", "sketch", (F.crc32(F.lit("a")) % 9).alias("at")), ["g"], k, 2, 9).first()
+    assert rounds["sketch"] == whole["sketch"] and rounds["n_rows"] == 60000
     direct = kmv_sketches(df.select(F.lit("all").alias("g"), "v"), ["g"], "v", k).first()
     assert whole["sketch"] == direct["sketch"] and whole["n_rows"] == 60000
     a, b = (s.where(F.col("g") == g).select(F.col("sketch").alias(g)) for g in "ab")
@@ -60,6 +64,80 @@ def test_set_operations_of_small_sets_are_exact(spark):
     assert got == [(4.0, 2.0, 2.0, 1.0, 1.0), (0.0, 0.0, 0.0, 0.0, 0.0)]
 
 
+def test_states_are_united_one_at_a_time():
+    rng = np.random.default_rng(0)
+
+    def states():
+        for _ in range(5000):
+            yield np.sort(rng.integers(-(2**62), 2**62, 64))
+
+    out = united(states(), 64)
+    rng = np.random.default_rng(0)
+    assert out.tolist() == sorted({int(x) for _ in range(5000) for x in np.sort(rng.integers(-(2**62), 2**62, 64))})[:64]
+    assert united(iter([]), 64).tolist() == []
+
+
+def test_rounds_follow_the_number_of_tasks(spark):
+    df = spark.range(100)
+    assert task_count(df.repartition(5000)) == 5000
+    assert task_count(df.repartition(7, "id").select("id")) == 7
+    assert task_count(spark.range(0, 100, 1, 13)) == 13
+    assert task_count(spark.range(0, 100, 1, 13).limit(0)) >= 1
+    for tasks in (1, 16, 17, 4096, 4097, 100_000):
+        rounds, left = rounds_for(tasks, 16), tasks
+        for _ in range(rounds):
+            left = -(-left // 16)
+        assert left == 1
+    with pytest.raises(ValueError):
+        rounds_for(4, 1)
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """Connections with copies, a hot address, late lines and unusable rows; three sites; documents and items."""
+    d, rng = str(tmp_path_factory.mktemp("tables")), random.Random(8)
+    lines = []
+    for n in range(4000):
+        ip = rng.choice(["hot", "hot", "", None, *(f"10.0.{rng.randint(0, 20)}.{rng.randint(0, 250)}" for _ in range(5))])
+        row = (rng.randint(1, 9), n, "x", ip, rng.choice(["Host.A", '"host.a."', None, f"h{n}"]), 2005, rng.choice(["May", "may", "Nope"]), rng.randint(1, 31), rng.choice([0, 7, 23, 23]), 59, rng.choice([0, 59, 60]))
+        lines += [row] * rng.choice([1, 1, 1, 3])
+    spark.createDataFrame(lines, "file_id bigint, line_no bigint, line string, ip string, hostname string, year bigint, month string, day bigint, hour bigint, minute bigint, second bigint").repartition(3).write.parquet(f"{d}/connections.parquet")
+    spark.createDataFrame([(i, f"s{i % 3}", "log") for i in range(1, 10)], "file_id bigint, site string, kind string").write.parquet(f"{d}/log_files.parquet")
+    texts = ["One passage of words that stands in the item and in this document, too, in full. Next.", None, "", "short"]
+    spark.createDataFrame(list(enumerate(texts, 10)), "doc_id bigint, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, texts[0][:78])], "item_id bigint, text string").write.parquet(f"{d}/eval_items.parquet")
+    groups: dict[tuple[str, str], list] = {}
+    months = {"may": "05"}
+    for f, n, _, ip, _, y, m, day, h, mi, s in set(lines):
+        if ip and m.lower() in months and s < 60:
+            date = f"{y}-{months[m.lower()]}-{day:02d}"
+            for g in ((date, f"s{f % 3}"), (date, "all"), (date[:7], f"s{f % 3}")):
+                groups.setdefault(g, []).append(ip)
+    return d, groups
+
+
+def test_dense_groups_match_brute_force_whatever_the_bounds_leave_open(spark, small_tables):
+    d, groups = small_tables
+    want = sorted(g for g, ips in groups.items() if len(ips) >= 20 and 2 * len(set(ips)) >= len(ips))
+    assert want and len(want) < len(groups)
+    assert rows(llm_queries.p4_found(spark, d)) == want
+    assert rows(llm_queries._dense_groups(spark, d, 16, 3.0)) == want  # nearly all are left open
+    got = {(r["period"], r["site"]): r for r in llm_queries.p4_distinct(spark, d).collect()}
+    assert {g: (r["n_lines"], r["n_ips"]) for g, r in got.items()} == {g: (len(v), len(set(v))) for g, v in groups.items()}
+
+
+def test_queries_dont_depend_on_the_zone(spark, small_tables):
+    d, _ = small_tables
+    zone, results = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for z in ("UTC", "America/Los_Angeles", "Pacific/Kiritimati"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            results.append({name: rows(q(spark, d)) for name, q in llm_queries.queries().items() if name != "p7_ids"})
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert results[0] == results[1] == results[2] and results[0]["p5_found"] and results[0]["p8_found"] and results[0]["p4_days"]
+
+
 # Frequent values
 
 
@@ -95,8 +173,8 @@ def test_frequent_values_match_brute_force(spark):
     assert got == want
     assert frequent_values(df.limit(0), ["a"], 0.1, 64).collect() == []
     assert frequent_values(df.select(F.lit(None).cast("string").alias("a")), ["a"], 0.1, 64).collect() == []
-    for states in (1, 2, 8):
-        assert [r["total"] for r in frequent_summaries(df, ["a"], 64, 2, states).collect()] == [5000]
+    for tasks in (1, 2, 9):
+        assert [r["total"] for r in frequent_summaries(df.repartition(tasks), ["a"], 64, 2).collect()] == [5000]
     with pytest.raises(ValueError):
         frequent_values(df, ["a"], 0.01, 100)
 
