@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -223,14 +224,45 @@ def test_rolled_hashes_tell_windows_apart():
     assert rolled(np.array([1], dtype=np.uint64), 3).tolist() == []
 
 
-def test_tiles_find_moved_passages():
-    item, doc = list("abcdefgh"), list("xefghyyabcdz")
-    seeds = [(i, j) for i in range(6) for j in range(10) if item[i : i + 3] == doc[j : j + 3]]
-    assert greedy_tiles(item, doc, seeds, 3) == [(0, 7, 4), (4, 1, 4)]
-    item, doc = list("aaaaa"), list("aaaaaaa")
-    seeds = [(i, j) for i in range(4) for j in range(6)]
-    tiles = greedy_tiles(item, doc, seeds, 2)
-    assert sum(t[2] for t in tiles) == 5 and all(item[i : i + n] == doc[j : j + n] for i, j, n in tiles)
+def tiles_by_hand(item, doc, n):
+    """The definition, place by place."""
+    used_i, used_j, tiles = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] != 0 and i + k not in used_i and j + k not in used_j:
+                    k += 1
+                if k >= n and (best is None or k > best[2]):
+                    best = (i, j, k)
+        if best is None:
+            return tiles
+        tiles.append(best)
+        used_i |= set(range(best[0], best[0] + best[2]))
+        used_j |= set(range(best[1], best[1] + best[2]))
+
+
+def test_tiles_match_the_definition():
+    letters = lambda s: [ord(c) for c in s]
+    assert greedy_tiles(letters("abcdefgh"), letters("xefghyyabcdz"), 3) == [(0, 7, 4), (4, 1, 4)]
+    assert greedy_tiles([], [1], 1) == greedy_tiles([1], [], 1) == greedy_tiles([0, 0], [0, 0], 1) == []
+    rng = random.Random(3)
+    for _ in range(400):
+        few = rng.choice([1, 2, 3, 6])
+        item, doc = ([rng.randint(0, few) for _ in range(rng.randint(0, 24))] for _ in range(2))
+        n = rng.randint(1, 5)
+        assert greedy_tiles(item, doc, n) == tiles_by_hand(item, doc, n), (item, doc, n)
+
+
+def test_repetition_costs_no_more():
+    began = time.time()
+    assert greedy_tiles([1] * 20_000, [1] * 20_000, 13) == [(0, 0, 20_000)]
+    index = ItemIndex([("a", "so " * 20_000), ("b", "so and " * 10_000)], 13)
+    docs = [index.numbers("so " * 20_000), index.numbers("so so and " * 7_000), index.numbers(("so " * 20 + "x ") * 900)]
+    found = list(index.search(docs))
+    assert (0, 0, 20_000, 1, 20_000, 20_000) in found and {f[:2] for f in found} == {(0, 0), (2, 0)}
+    assert time.time() - began < 5
 
 
 def test_leaked_items_match_brute_force(spark):
@@ -238,7 +270,7 @@ def test_leaked_items_match_brute_force(spark):
     word = lambda: rng.choice("the a cat dog sat on Mat RAN to x".split())
     items = [(i, " ".join(word() for _ in range(rng.choice([0, 2, 5, 9])))) for i in range(30)] + [(30, None), (31, "!"), (32, "the cat"), (33, "the cat"), (None, "the cat")]
     docs = [(100 + d, ", ".join(word() for _ in range(rng.choice([0, 1, 4, 30, 60])))) for d in range(80)] + [(500, None), (501, "the cat"), (501, "the cat"), (502, "word " * 20000), (None, "the cat")]
-    want = []
+    want, covered = [], set()
     for i, t in items:
         w = words_of(t)
         n = min(4, len(w))
@@ -247,11 +279,14 @@ def test_leaked_items_match_brute_force(spark):
             y = words_of(x)
             if d is not None and grams & {tuple(y[k : k + n]) for k in range(len(y) - n + 1)}:
                 want.append((i, d))
+                tiles = tiles_by_hand(w, y, n)
+                covered.add((i, d, len(w), len(tiles), max(z[2] for z in tiles), sum(z[2] for z in tiles)))
     d = spark.createDataFrame([(*x, "c") for x in docs], "doc_id bigint, text string, item string")
     i = spark.createDataFrame([(*x, "c") for x in items], "item_id bigint, text string, doc string")
     for chars in (16_000_000, 40):
         got = leaked_items(d, i, "doc_id", "text", "item_id", "text", 4, chars)
         assert rows(got.select("item_id", "doc_id")) == sorted(want, key=repr)
+        assert {tuple(r) for r in got.select("item_id", "doc_id", "n_words", "n_tiles", "longest", "covered").collect()} == covered
     assert all(4 <= r["longest"] <= r["covered"] <= r["n_words"] or r["longest"] == r["n_words"] < 4 for r in got.collect())
     assert leaked_items(d.limit(0), i, "doc_id", "text", "item_id", "text").collect() == []
     assert leaked_items(d, i.limit(0), "doc_id", "text", "item_id", "text").collect() == []
