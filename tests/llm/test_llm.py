@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from gold import GOLD
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe
@@ -15,7 +16,7 @@ from logloom.llm import queries as llm_queries
 from logloom.llm.distinct import kmv_bounds, kmv_estimate, kmv_set_operations, kmv_sketches, merge_sketches, united
 from logloom.llm.frequent import SpaceSaving, frequent_summaries, frequent_values
 from logloom.llm.leakage import ItemIndex, greedy_tiles, leaked_items, rolled, words_of
-from logloom.llm.sentences import blocks, sentence_units, units
+from logloom.llm.sentences import blocks, languages_of, sentence_units, units
 from logloom.llm.spark import rounds_for, task_count
 
 
@@ -332,6 +333,40 @@ def test_units(marked):
     assert [text[a:b] for a, b in units(text)] == [p.strip() for p in pieces if p.strip()]
 
 
+def test_gold_set_of_several_languages():
+    """The score stated in the README: where units begin and end, over texts split by hand."""
+    hits = wanted = got = 0
+    for texts in GOLD.values():
+        for marked in texts:
+            text, want, at = marked.replace("|", ""), set(), 0
+            for piece in marked.split("|"):
+                begin = at + len(piece) - len(piece.lstrip())
+                want.add((begin, begin + len(piece.strip())))
+                at += len(piece)
+            have = set(units(text))
+            hits, wanted, got = hits + len(have & want), wanted + len(want), got + len(have)
+    assert hits / wanted >= 0.95 and hits / got >= 0.95, (hits, wanted, got)
+
+
+@pytest.mark.parametrize("text", ["Please tell me. I need it.", "He gave it to me. Then he left.", "The answer is no. We go on.", "She said no. Nobody came.", "He bought a new tel. Then he called.", "The ex. She left.", "Wait a min. She left.", "We met the dr. Then he left.", "Vitamin C. It helps."])
+def test_plain_english_isnt_read_by_other_languages_tables(text):
+    assert len(units(text)) == 2
+
+
+def test_the_number_of_blanks_doesnt_matter():
+    for blanks in (1, 5, 45, 3000):
+        for text, n in (("logs, etc.{}and so on. Done.", 2), ("Wait...{}and go on. Done.", 2), ("See Dr.{}Doe now. Done.", 2), ("It said “no.”{}and went. Done.", 2)):
+            assert len(units(text.format(" " * blanks))) == n, (blanks, text)
+
+
+def test_languages_of_texts():
+    tell = lambda t: set(languages_of(t, 0, len(t)))
+    assert tell("The router is not in the house") == {"en"} and tell("Der Index ist nicht auf dem Server") == {"de"}
+    assert tell("La table ne répond pas sous forte charge") == {"fr"} and tell("El cable está en la mesa, pero no responde") == {"es"}
+    assert tell("डॉ. शर्मा") == {"hi"} and tell("12 kg") == tell("") == set()
+    assert tell("Der Index ist nicht da, it says, but we do not see that") >= {"de", "en"}
+
+
 def test_units_without_content_and_long():
     assert units(None) == units("") == units(" \n\t　 ") == []
     for text in ("x" * 200_000, "a. " * 20_000, "(" * 20_000, "“" * 5_000, "'a " * 20_000, "\n" * 50_000, "- " * 20_000, "!" * 50_000, "`" * 3_000):
