@@ -11,7 +11,8 @@ from logloom.operators.badrows import CONNECTIONS, Field, RowSchema, classify_ro
 from logloom.operators.lines import host_key, instant_seconds, once_per_line
 from logloom.operators.logentries import HeaderMachine, log_entries, read_header, scan_object, scan_pairs
 from logloom.operators.sessions import sessionize
-from logloom.operators.treeagg import tree_count, tree_levels
+from logloom.operators.tasks import task_count, tree_levels
+from logloom.operators.treeagg import tree_count
 
 
 def rows(df):
@@ -96,8 +97,26 @@ def test_tree_levels():
         tree_levels(4, 1)
 
 
-@pytest.mark.parametrize("leaves,fan_in", [(1, 2), (7, 2), (256, 16)])
-def test_tree_count_matches_brute_force(spark, leaves, fan_in):
+def test_task_count(spark):
+    assert task_count(spark.range(0, 100, 1, 13)) == 13
+    assert task_count(spark.range(100).repartition(5000)) == 5000
+    assert task_count(spark.range(100).groupBy("id").count()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tree_count_takes_as_many_rounds_as_its_tasks_need(spark):
+    df = spark.createDataFrame([("a", "x")], "k string, v string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks, exchanges in (("4", 2), ("16", 2), ("17", 3), ("5000", 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            plan = tree_count(df, "k", "v")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges, tasks
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_tree_count_matches_brute_force(spark, fan_in):
     rng = random.Random(5)
     data = [(rng.choice(["hot"] * 20 + ["a", "b", "", None]), rng.choice(["", None, *(str(rng.randint(0, 200)) for _ in range(9))])) for _ in range(3000)]
     want = defaultdict(lambda: [0, set()])
@@ -107,8 +126,8 @@ def test_tree_count_matches_brute_force(spark, leaves, fan_in):
             if v:
                 want[k][1].add(v)
     df = spark.createDataFrame([(*d, 1, "z") for d in data], "k string, v string, _n int, _k string")
-    assert rows(tree_count(df, "k", "v", leaves=leaves, fan_in=fan_in)) == sorted(((k, n, len(s)) for k, (n, s) in want.items()), key=repr)
-    assert rows(tree_count(df.limit(0), "k", "v", leaves=leaves, fan_in=fan_in)) == []
+    assert rows(tree_count(df, "k", "v", fan_in=fan_in)) == sorted(((k, n, len(s)) for k, (n, s) in want.items()), key=repr)
+    assert rows(tree_count(df.limit(0), "k", "v", fan_in=fan_in)) == []
 
 
 # Bad rows
