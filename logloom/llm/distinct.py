@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.spark import rounds_for, task_count
+from logloom.llm.spark import rounds_for
+from logloom.operators.tasks import task_count
 
 #: A task's unsent sketches hold at most so many hashes; beyond, they are sent on as partial results and begun anew.
 MAX_HELD = 4_000_000

@@ -10,7 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.spark import rounds_for, task_count
+from logloom.llm.spark import rounds_for
+from logloom.operators.tasks import task_count
 
 _SUMMARY = "field string, slot bigint, total bigint, missed bigint, items array<string>, counts array<bigint>, errors array<bigint>"
 _SCHEMA = pa.schema([("field", pa.string()), ("slot", pa.int64()), ("total", pa.int64()), ("missed", pa.int64()), ("items", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("errors", pa.list_(pa.int64()))])

@@ -7,10 +7,9 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-_TASKS = re.compile(r"(?:hashpartitioning|rangepartitioning)\(.*?, (\d+)\)|RoundRobinPartitioning\((\d+)\)")
+from pyspark.sql import DataFrame
 
+from logloom.operators.tasks import tree_levels
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A small intermediate table, written to the checkpoint folder that the session names in spark.checkpoint.dir.
@@ -30,21 +29,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def task_count(df: DataFrame) -> int:
-    """How many tasks the rows of ``df`` come from: its splits, or, after shuffles, the most tasks of one (of which fewer may be left).
-
-    Nothing is run but what the plan broadcasts.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    shuffled = [int(a or b) for a, b in _TASKS.findall(plan)]
-    return max(1, *shuffled, 1) if shuffled else max(1, df.rdd.getNumPartitions())
-
-
 def rounds_for(states: int, fan_in: int) -> int:
-    """Rounds of merging by ``fan_in`` until one of ``states`` is left."""
-    if fan_in < 2:
-        raise ValueError("fan_in must be at least 2")
-    rounds, left = 0, max(1, states)
-    while left > 1:
-        left, rounds = -(-left // fan_in), rounds + 1
-    return max(1, rounds)
+    """Rounds of merging by ``fan_in`` until one of ``states`` is left, at least one."""
+    return max(1, len(tree_levels(states, fan_in)) - 1)

@@ -17,7 +17,8 @@ from logloom.llm.distinct import kmv_bounds, kmv_estimate, kmv_set_operations, k
 from logloom.llm.frequent import SpaceSaving, frequent_summaries, frequent_values
 from logloom.llm.leakage import ItemIndex, greedy_tiles, leaked_items, rolled, words_of
 from logloom.llm.sentences import blocks, languages_of, sentence_units, units
-from logloom.llm.spark import rounds_for, task_count
+from logloom.llm.spark import rounds_for
+from logloom.operators.tasks import task_count
 
 
 def rows(df):
