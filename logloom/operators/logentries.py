@@ -1,21 +1,23 @@
 """Entries of mixed program logs: time, level, component and message, continuation lines attached.
 
-Three parts. A deterministic state machine runs over the characters of a line; it is built from the header grammars below by subset
-construction, a step at a time, and notes where fields begin and end. Lines of named fields (JSON objects, ``key=value``) go on in a second
-machine that tokenises names, quotes and brackets. The grammar that accepts assigns the fields; a line that none accepts is a continuation
-until the next header. Attaching is Spark's work: lines are put in order within blocks of a file, and only the edges of blocks (at most two
-rows each) are put in order over the whole file, so that no task needs to hold a file.
+A deterministic state machine runs over the characters of a line; it is built from header grammars by subset construction, a step at a time,
+and notes where fields begin and end. Lines of named fields (JSON objects, ``key=value``) go on in a second machine that tokenises names, quotes
+and brackets. The grammar that accepts assigns the fields. At the end of a line the machine of a file is in a lookahead state: the class of
+the next line, whether the first machine accepts its beginning, decides whether the entry is at its end or the line is attached to it. The
+lookahead runs over blocks of a file; only what reaches over the edges of blocks (at most two rows each) is put in order over the whole file,
+so that no task needs to hold a file.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Level words, syslog severities, initials, months.
@@ -44,14 +46,23 @@ _D, _A = Chars("0123456789"), Chars("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQ
 _SP = Chars(" ")
 
 
-def _grammar(*parts) -> list[tuple[Chars, str, str]]:
-    """Elements (characters, how often, mark) of a header. A plain string stands for itself; ``"9:N"`` repeats digits N times.
+Element = tuple[Chars, str, str]
 
-    A tuple is (characters, "1" | "?" | "*" | "+", mark): the mark names the position at which the element is entered.
+
+def grammar(*parts) -> list[Element]:
+    """Elements (characters, how often, mark) of a header, up to the first character of the message.
+
+    A plain string stands for itself; ``"9:N"`` repeats digits N times; ``(characters, "1" | "?" | "*" | "+", mark)`` is an element, or a list of
+    parts. A mark names the position at which its element is entered. What marks mean is the same in all grammars: ``year`` (four digits, at
+    most one of the file's opening if absent), ``month`` (a name's three letters or two digits), ``day`` (two digits, the first perhaps a blank),
+    ``clock`` (HH:MM:SS), ``zone`` (Z, or sign, hours and minutes), or ``epoch`` to ``epoch_end`` (seconds since 1970); ``level`` to ``level_end`` (a level
+    word), ``initial`` (of one) or ``priority`` to ``priority_end`` (of syslog); ``name`` to ``name_end``, the component.
     """
-    out: list[tuple[Chars, str, str]] = []
+    out: list[Element] = []
     for p in parts:
-        if isinstance(p, str) and p[:2] == "9:":
+        if isinstance(p, list):
+            out += grammar(*p)
+        elif isinstance(p, str) and p[:2] == "9:":
             out += [(_D, "1", "")] * int(p[2:])
         elif isinstance(p, str):
             out += [(Chars(c), "1", "") for c in p]
@@ -63,35 +74,37 @@ def _grammar(*parts) -> list[tuple[Chars, str, str]]:
 
 
 def _digits(mark: str, n: int) -> list:
-    return [(_D, "1", mark)] + [(_D, "1", "")] * (n - 1)
+    return [(_D, "1", mark), *[(_D, "1", "")] * (n - 1)]
 
 
-_CLOCK = ("9:2", ":", "9:2", ":", "9:2")
+_CLOCK = [(_D, "1", "clock"), "9:1", ":", "9:2", ":", "9:2"]
+_MONTH = [(_A, "1", "month"), (_A, "1", ""), (_A, "1", "")]
+_DAY = [(Chars(" 0123456789"), "1", "day"), "9:1"]
+_DATE = [*_digits("year", 4), "-", *_digits("month", 2), "-", *_digits("day", 2)]
 _PROGRAM, _WORD = Chars(" []:", False), Chars(" ", False)
-_PRIORITY = ("<", (_D, "1", "pri"), (_D, "?", ""), (_D, "?", ""), (">", "1", "pri_end"))
+_PRIORITY = ["<", (_D, "1", "priority"), (_D, "?", ""), (_D, "?", ""), (">", "1", "priority_end")]
 _LEVEL = (_A, "+", "level")
 
 
-def _syslog(priority: bool, pid: bool) -> list:
-    head = _PRIORITY if priority else ()
-    tail = (("[", "1", "name_end"), (_D, "+", ""), "]", ":", " ") if pid else ((":", "1", "name_end"), " ")
-    return _grammar(*head, (_A, "1", "at"), (_A, "1", ""), (_A, "1", ""), " ", (Chars(" 0123456789"), "1", ""), "9:1", " ", *_CLOCK, " ", (_WORD, "+", ""), " ", (_PROGRAM, "+", "name"), *tail)
+def _syslog(priority: bool, pid: bool) -> list[Element]:
+    tail = [("[", "1", "name_end"), (_D, "+", ""), "]: "] if pid else [(":", "1", "name_end"), " "]
+    return grammar(_PRIORITY if priority else [], _MONTH, " ", _DAY, " ", _CLOCK, " ", (_WORD, "+", ""), " ", (_PROGRAM, "+", "name"), tail)
 
 
-#: layout -> the variants of its header, up to the first character of the message.
-GRAMMARS: dict[str, list[list]] = {
+#: layout -> the variants of its header.
+GRAMMARS: dict[str, list[list[Element]]] = {
     "syslog": [_syslog(p, q) for p in (False, True) for q in (False, True)],
-    "bracketed": [_grammar("[", (_A, "1", ""), (_A, "1", ""), (_A, "1", ""), " ", (_A, "1", "at"), (_A, "1", ""), (_A, "1", ""), " ", (Chars(" 0123456789"), "1", ""), "9:1", " ", *_CLOCK, " ", "9:4", "] [", _LEVEL, ("]", "1", "level_end"), " [", (Chars("]", False), "+", "name"), ("]", "1", "name_end"), " ")],
-    "piped": [_grammar(*_digits("at", 2), "/", "9:2", "/", "9:4", " ", *_CLOCK, "|", _LEVEL, ("|", "1", "level_end"), (Chars("|", False), "+", "name"), ("|", "1", "name_end"))],
-    "epoch": [_grammar((_D, "+", "at"), (".", "1", "at_end"), (_D, "+", ""), " ", _LEVEL, ("/", "1", "level_end"), (Chars(" :", False), "+", "name"), (":", "1", "name_end"), " ")],
-    "initial": [_grammar((Chars("".join(INITIALS)), "1", "level"), *_digits("at", 4), " ", *_CLOCK, ".", (_D, "+", ""), (_SP, "+", ""), (_D, "+", ""), " ", (Chars(" :", False), "+", "name"), (":", "1", "name_end"), (_D, "+", ""), "] ")],
-    "dashed": [],
-    "zoned": [],
+    "bracketed": [grammar("[", (_A, "1", ""), (_A, "1", ""), (_A, "1", ""), " ", _MONTH, " ", _DAY, " ", _CLOCK, " ", _digits("year", 4), "] [", _LEVEL, ("]", "1", "level_end"), " [", (Chars("]", False), "+", "name"), ("]", "1", "name_end"), " ")],
+    "piped": [grammar(_digits("day", 2), "/", _digits("month", 2), "/", _digits("year", 4), " ", _CLOCK, "|", _LEVEL, ("|", "1", "level_end"), (Chars("|", False), "+", "name"), ("|", "1", "name_end"))],
+    "epoch": [grammar((_D, "+", "epoch"), (".", "1", "epoch_end"), (_D, "+", ""), " ", _LEVEL, ("/", "1", "level_end"), (Chars(" :", False), "+", "name"), (":", "1", "name_end"), " ")],
+    "initial": [grammar((Chars("".join(INITIALS)), "1", "initial"), _digits("month", 2), _digits("day", 2), " ", _CLOCK, ".", (_D, "+", ""), (_SP, "+", ""), (_D, "+", ""), " ", (Chars(" :", False), "+", "name"), (":", "1", "name_end"), (_D, "+", ""), "] ")],
+    "dashed": [grammar(_DATE, " ", _CLOCK, f, " ", _LEVEL, (" ", "1", "level_end"), (_SP, "*", ""), (_WORD, "+", "name"), (" ", "1", "name_end"), "- ") for f in ([], [(Chars(",."), "1", ""), (_D, "+", "")])],
+    "zoned": [
+        grammar(_DATE, "T", _CLOCK, f, z, " ", _LEVEL, (" ", "1", "level_end"), (_SP, "*", ""), "[", (Chars("]", False), "+", "name"), ("]", "1", "name_end"), " ")
+        for f in ([], [(Chars(",."), "1", ""), (_D, "+", "")])
+        for z in ([("Z", "1", "zone")], [("+-", "1", "zone"), "9:2", ":", "9:2"], [("+-", "1", "zone"), "9:4"])
+    ],
 }
-for _f in ((), ((Chars(",."), "1", ""), (_D, "+", ""))):
-    GRAMMARS["dashed"].append(_grammar(*_digits("at", 4), "-", "9:2", "-", "9:2", " ", *_CLOCK, *_f, " ", _LEVEL, (" ", "1", "level_end"), (_SP, "*", ""), (_WORD, "+", "name"), (" ", "1", "name_end"), "- "))
-    for _z in ((("Z", "1", "zone"),), (("+-", "1", "zone"), "9:2", ":", "9:2"), (("+-", "1", "zone"), "9:4")):
-        GRAMMARS["zoned"].append(_grammar(*_digits("at", 4), "-", "9:2", "-", "9:2", "T", *_CLOCK, *_f, *_z, " ", _LEVEL, (" ", "1", "level_end"), (_SP, "*", ""), "[", (Chars("]", False), "+", "name"), ("]", "1", "name_end"), " "))
 
 
 class HeaderMachine:
@@ -101,7 +114,7 @@ class HeaderMachine:
     characters outside ASCII share one step. A line without complete header ends in a state without successors, mostly after few characters.
     """
 
-    def __init__(self, grammars: dict[str, list[list]] = GRAMMARS):
+    def __init__(self, grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS):
         self._of = [(name, elements) for name, variants in grammars.items() for elements in variants]
         self._states: dict[frozenset, dict] = {}
         self._start = self._state(self._closed((v, 0) for v in range(len(self._of))))
@@ -120,7 +133,7 @@ class HeaderMachine:
     def _state(self, positions: frozenset) -> dict:
         if positions not in self._states:
             done = [v for v, e in positions if e == len(self._of[v][1])]
-            self._states[positions] = {"": positions, "accepts": self._of[min(done)][0] if done else None}
+            self._states[positions] = {"": positions, "accepts": min(done) if done else None}
         return self._states[positions]
 
     def _step(self, state: dict, c: str):
@@ -133,26 +146,31 @@ class HeaderMachine:
             if e < len(elements) and key in elements[e][0]:
                 to.add((v, e if elements[e][1] == "*" else e + 1))
                 if elements[e][2]:
-                    marks.add(elements[e][2])
+                    marks.add((v, elements[e][2]))
         state[key] = (self._state(self._closed(to)), tuple(marks)) if to else (None, ())
         return state[key]
 
     def run(self, line: str):
-        state, marks = self._start, {}
+        state, trail = self._start, []
         for i, c in enumerate(line):
             step = state.get(c) or self._step(state, c)
             state = step[0]
             if state is None:
                 return None
-            for m in step[1]:
-                marks[m] = i
-            if state["accepts"]:
-                return state["accepts"], marks, i + 1
+            if step[1]:
+                trail.append((i, step[1]))
+            if state["accepts"] is not None:
+                return self._accepted(state, trail, i + 1)
         step = self._step(state, " ")  # a header whose message is empty may have lost its last blank
-        if step[0] is not None and step[0]["accepts"]:
-            return step[0]["accepts"], marks, len(line)
+        if step[0] is not None and step[0]["accepts"] is not None:
+            return self._accepted(step[0], trail, len(line))
         return None
 
+    def _accepted(self, state: dict, trail: list, end: int) -> tuple[str, dict[str, int], int]:
+        """The layout, the marks of the variant that accepts, and the header's length."""
+        v = state["accepts"]
+        return self._of[v][0], {mark: i for i, marks in trail for w, mark in marks if w == v}, end
+
 
 def _quoted(line: str, at: int) -> int:
     """The position after the string that begins with the quote at ``at``, or -1."""
@@ -273,17 +291,17 @@ def _stamp(text: str) -> str | None:
     try:
         whole = text.partition(".")[0]
         if whole.isascii() and whole.isdigit():
-            return _utc(int(whole) // 1000 if len(whole) >= 12 else int(whole))
+            return _utc(whole[:-3]) if len(whole) >= 12 else _utc(whole)
         at = datetime.fromisoformat(text)
         return (at.astimezone(timezone.utc) if at.tzinfo else at).strftime("%Y-%m-%d %H:%M:%S")
     except (ValueError, OverflowError):
         return None
 
 
-def _utc(seconds: int) -> str | None:
+def _utc(seconds: str) -> str | None:
     try:
-        return str(datetime(1970, 1, 1) + timedelta(seconds=seconds))
-    except OverflowError:
+        return str(datetime(1970, 1, 1) + timedelta(seconds=int(seconds)))
+    except (ValueError, OverflowError):
         return None
 
 
@@ -300,115 +318,171 @@ def _real(year: str, month: str, day: str, clock: str) -> str | None:
     return f"{year}-{month}-{day} {clock}"
 
 
-def _zoned(text: str, zone: str) -> str | None:
-    at = _real(text[:4], text[5:7], text[8:10], text[11:19])
+def _time(line: str, m: dict[str, int]) -> str | None:
+    """The time that a header's marks give, without its year if they give none; None if there is no such time."""
+    if "epoch" in m:
+        return _utc(line[m["epoch"] : m["epoch_end"]])
+    month = line[m["month"] : m["month"] + 2]
+    if not month.isdigit():
+        month = MONTH_NAMES.get(line[m["month"] : m["month"] + 3], "")
+    at = _real(line[m["year"] : m["year"] + 4] if "year" in m else "", month, line[m["day"] : m["day"] + 2], line[m["clock"] : m["clock"] + 8])
+    zone = line[m["zone"]] if "zone" in m else "Z"
     if at is None or zone == "Z":
         return at
-    digits = zone[1:].replace(":", "")
+    digits = line[m["zone"] + 1 : m["zone"] + 6].replace(":", "")
     shift = timedelta(hours=int(digits[:2]), minutes=int(digits[2:4]))
     try:
-        return str(datetime.fromisoformat(at) - (shift if zone[0] == "+" else -shift))
+        return str(datetime.fromisoformat(at) - (shift if zone == "+" else -shift))
     except OverflowError:
         return None
 
 
+def _level(line: str, m: dict[str, int]) -> str | None:
+    """The level that a header's marks give, empty if none states one; None if there is no such level."""
+    if "priority" in m:
+        number = int(line[m["priority"] : m["priority_end"]])
+        return SEVERITIES[number % 8] if number <= 191 else None
+    if "initial" in m:
+        return INITIALS.get(line[m["initial"]])
+    return LEVELS.get(line[m["level"] : m["level_end"]].lower()) if "level" in m else ""
+
+
 MACHINE = HeaderMachine()
 
 
-def read_header(line: str) -> tuple[str, str, str, str] | None:
+def read_header(line: str, machine: HeaderMachine = MACHINE) -> tuple[str, str, str, str] | None:
     """(time, level, component, message) of a line with a complete header, else None. A time without year begins with ``-``."""
     c = line[:1]
     if c == "{":
         return _named(line, scan_object(line))
-    found = MACHINE.run(line)
+    found = machine.run(line)
     if found is None:
-        if c.isalpha() or c == "@":
-            word = line.partition("=")[0]
-            if len(word) < 64 and " " not in word and len(word) < len(line):
-                return _named(line, scan_pairs(line))
-        return None
-    layout, m, end = found
-    at, level = m["at"], line[m["level"] : m.get("level_end", m["level"] + 1)] if "level" in m else ""
-    if layout == "syslog":
-        time = _real("", MONTH_NAMES.get(line[at : at + 3], ""), line[at + 4 : at + 6], line[at + 7 : at + 15])
-        pri = int(line[m["pri"] : m["pri_end"]]) if "pri_end" in m else -1
-        level = SEVERITIES[pri % 8] if 0 <= pri <= 191 else "" if pri < 0 else None
-    elif layout == "initial":
-        time, level = _real("", line[at : at + 2], line[at + 2 : at + 4], line[at + 5 : at + 13]), INITIALS[level]
-    else:
-        level = LEVELS.get(level.lower())
-        if layout == "bracketed":
-            time = _real(line[at + 16 : at + 20], MONTH_NAMES.get(line[at : at + 3], ""), line[at + 4 : at + 6], line[at + 7 : at + 15])
-        elif layout == "piped":
-            time = _real(line[at + 6 : at + 10], line[at + 3 : at + 5], line[at : at + 2], line[at + 11 : at + 19])
-        elif layout == "epoch":
-            time = _utc(int(line[at : m["at_end"]])) if m["at_end"] - at < 12 else None
-        elif layout == "dashed":
-            time = _real(line[at : at + 4], line[at + 5 : at + 7], line[at + 8 : at + 10], line[at + 11 : at + 19])
-        else:
-            zone = line[m["zone"] : line.index(" ", m["zone"])]
-            time = _zoned(line[at : at + 19], zone)
+        return _named(line, scan_pairs(line)) if c.isalpha() or c == "@" else None
+    _, m, end = found
+    time, level = _time(line, m), _level(line, m)
     if time is None or level is None:
         return None
     return time, level, line[m["name"] : m["name_end"]], line[end:]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # tells pairs apart, but for chance
-_PARSED = "file_id bigint, line_no bigint, year string, entry_time string, level string, component string, text string"
-_SCHEMA = pa.schema([("file_id", pa.int64()), ("line_no", pa.int64()), ("year", pa.string()), ("entry_time", pa.string()), ("level", pa.string()), ("component", pa.string()), ("text", pa.string())])
+_PARSED = "file_id bigint, line_no bigint, year string, head boolean, entry_time string, level string, component string, text string"
+_SCHEMA = pa.schema([("file_id", pa.int64()), ("line_no", pa.int64()), ("year", pa.string()), ("head", pa.bool_()), *((c, pa.string()) for c in ("entry_time", "level", "component", "text"))])
+_PARTS = "file_id bigint, block bigint, start bigint, first bigint, n_lines bigint, entry_time string, level string, component string, text string"
+_PARTS_SCHEMA = pa.schema([*((c, pa.int64()) for c in ("file_id", "block", "start", "first", "n_lines")), *((c, pa.string()) for c in ("entry_time", "level", "component", "text"))])
+
+
+def _parser(machine: HeaderMachine):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # Copies of a line within a batch go before the shuffle: a line delivered very often leaves one row for each batch.
+            files, numbers = (b.column(i).to_numpy().astype(np.uint64) for i in (0, 1))
+            if len(np.unique(files * _MIX + numbers)) < b.num_rows:
+                seen: set[tuple[int, int]] = set()
+                b = b.filter(pa.array([k not in seen and not seen.add(k) for k in zip(files.tolist(), numbers.tolist())]))
+            times, levels, names, texts = [], [], [], []
+            for line in b.column(3).to_pylist():
+                if line[-1:] == "\r":
+                    line = line[:-1]
+                time, level, name, text = read_header(line, machine) or (None, None, None, line)
+                times.append(time)
+                levels.append(level)
+                names.append(name)
+                texts.append(text)
+            head = pa.array([n is not None for n in names], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), head, *(pa.array(x, pa.string()) for x in (times, levels, names, texts))], schema=_SCHEMA)
+
+    return parse
+
+
+def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order of (file, block, line number) to the parts of entries in each block: (start, NULL before the block's first header; the
+    first line; lines; fields; text).
+
+    In the lookahead state after a line, another block's line or one with a header ends the part, a copy of the line is passed over, and any
+    other line is attached. Parts are cut from whole batches at once; what isn't at its end waits for the next batch.
+    """
+    waiting: list[pa.Table] = []
+
+    def parts(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        file, block, line, head = (t.column(c).to_numpy() for c in ("file_id", "block", "line_no", "head"))
+        at = np.flatnonzero(_ends(file, block, head))
+        ends = np.concatenate((at[1:], [len(file)]))
+        text = t.column("text").chunk(0)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate((at, ends[-1:])), pa.int32()), text), "\n")
+        firsts = pa.array(at)
+        start = pa.array(line[at], pa.int64(), mask=~head[at])
+        fields = [t.column(c).chunk(0).take(firsts) for c in ("entry_time", "level", "component")]
+        return pa.RecordBatch.from_arrays([pa.array(file[at]), pa.array(block[at]), start, pa.array(line[at]), pa.array(ends - at), *fields, texts], schema=_PARTS_SCHEMA)
+
+    last: tuple[int, int] | None = None
+    for b in batches:
+        file, line = b.column(0).to_numpy(), b.column(b.schema.get_field_index("line_no")).to_numpy()
+        fresh = np.ones(b.num_rows, dtype=bool)
+        fresh[1:] = (file[1:] != file[:-1]) | (line[1:] != line[:-1])
+        if b.num_rows:
+            fresh[0] = last != (file[0], line[0])
+            last = (file[-1], line[-1])
+        b = b.filter(pa.array(fresh))
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        file, block, head = (t.column(c).to_numpy() for c in ("file_id", "block", "head"))
+        before = waiting[-1].slice(waiting[-1].num_rows - 1) if waiting else None
+        ends = _ends(file, block, head)
+        ends[0] = before is None or head[0] or (before.column("file_id")[0].as_py(), before.column("block")[0].as_py()) != (file[0], block[0])
+        cuts = np.flatnonzero(ends)
+        if len(cuts):
+            done = [*waiting, t.slice(0, int(cuts[-1]))]
+            if sum(x.num_rows for x in done):
+                yield parts(pa.concat_tables(done))
+            waiting = []
+        waiting.append(t.slice(int(cuts[-1]) if len(cuts) else 0))
+    if waiting:
+        yield parts(pa.concat_tables(waiting))
+
+
+def _ends(file: np.ndarray, block: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Where a part begins, and the one before it is at its end."""
+    out = head.copy()
+    out[0] = True
+    out[1:] |= (file[1:] != file[:-1]) | (block[1:] != block[:-1])
+    return out
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        # Copies of a line within a batch go before the shuffle: a line delivered very often leaves one row for each batch.
-        files, numbers = (b.column(i).to_numpy().astype(np.uint64) for i in (0, 1))
-        if len(np.unique(files * _MIX + numbers)) < b.num_rows:
-            seen: set[tuple[int, int]] = set()
-            b = b.filter(pa.array([k not in seen and not seen.add(k) for k in zip(files.tolist(), numbers.tolist())]))
-        times, levels, names, texts = [], [], [], []
-        for line in b.column(3).to_pylist():
-            if line[-1:] == "\r":
-                line = line[:-1]
-            time, level, name, text = read_header(line) or (None, None, None, line)
-            times.append(time)
-            levels.append(level)
-            names.append(name)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, pa.string()) for x in (times, levels, names, texts))], schema=_SCHEMA)
-
-
-def log_entries(df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", block_lines: int = 8192) -> DataFrame:
+def _year(df: DataFrame, opened_at: str) -> Column:
+    """The year of an instant, whatever the session's zone."""
+    at = F.col(opened_at)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86400).cast("int")) if df.select(opened_at).dtypes[0][1] == "timestamp" else at.cast("date")
+    return F.lpad(F.year(day).cast("string"), 4, "0")
+
+
+def log_entries(
+    df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS, block_lines: int = 8192
+) -> DataFrame:
     """One row for each entry: (file_id, line_no, n_lines, entry_time, level, component, message).
 
-    An entry starts at a line with a complete header and takes all lines of its file up to the next such line; lines before a file's first
-    header belong to none. Lines may stand in any order and more than once: copies of a (file, line number) count once. Rows without
-    file, line number or line are ignored; an empty line belongs to its entry as an empty line. A header without year takes that of
-    ``opened_at``; if that is NULL, entry_time is NULL. An empty input gives no rows. Other columns are ignored, whatever their names.
+    An entry starts at a line with a complete header of one of the ``grammars`` (see ``grammar``), or with named fields, and takes all lines of
+    its file up to the next such line; lines before a file's first header belong to none. Lines may stand in any order and more than once:
+    copies of a (file, line number) count once. Rows without file, line number or line are ignored; an empty line belongs to its entry as an
+    empty line. A header without year takes that of ``opened_at``; if that is NULL, entry_time is NULL. An empty input gives no rows. Other
+    columns are ignored, whatever their names.
     """
-    source = df.select(
-        F.col(file_id).cast("bigint").alias("file_id"), F.col(line_no).cast("bigint").alias("line_no"), F.date_format(F.col(opened_at), "yyyy").alias("year"), F.col(line).alias("text")
-    ).where("file_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL")
-    parsed = source.mapInArrow(_parse, _PARSED).select(
-        "file_id", F.floor(F.col("line_no") / block_lines).alias("block"), "line_no", F.col("component").isNotNull().alias("head"),
-        F.when(F.col("entry_time").startswith("-"), F.concat("year", "entry_time")).otherwise(F.col("entry_time")).alias("entry_time"), "level", "component", "text",
-    )
-    lines = parsed.repartition("file_id", "block").dropDuplicates(["file_id", "block", "line_no"])
-    in_block = Window.partitionBy("file_id", "block").orderBy("line_no")
-    parts = (
-        lines.withColumn("start", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("file_id", "block", "start")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), *[F.max(F.when(F.col("head"), F.col(c))).alias(c) for c in ("entry_time", "level", "component")], F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("texts"))
-        .withColumn("text", F.concat_ws("\n", F.transform("texts", lambda t: t["text"])))
-        .drop("texts")
-    )
-    # The last entry of a block may go on in the next blocks: these rows and the lines before a block's first header meet in one group of the file.
-    ends = F.max("start").over(Window.partitionBy("file_id", "block"))
-    parts = parts.withColumn("at", F.when(F.col("start").isNull() | (F.col("start") == ends), F.lit(-1)).otherwise(F.col("block")))
+    source = df.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(line_no).cast("bigint").alias("line_no"), _year(df, opened_at).alias("year"), F.col(line).alias("text"))
+    parsed = source.where("file_id IS NOT NULL AND line_no IS NOT NULL AND text IS NOT NULL").mapInArrow(_parser(HeaderMachine(grammars)), _PARSED)
+    time = F.when(F.col("entry_time").startswith("-"), F.concat("year", "entry_time")).otherwise(F.col("entry_time"))
+    lines = parsed.select("file_id", F.floor(F.col("line_no") / block_lines).alias("block"), "line_no", "head", time.alias("entry_time"), "level", "component", "text")
+    parts = lines.repartition("file_id", "block").sortWithinPartitions("file_id", "block", "line_no").mapInArrow(_attach, _PARTS)
+    # What reaches over an edge of blocks is a block's first part, if it has no header, and its last: these meet in one group of the file, in
+    # order; all others are whole entries.
+    ends = F.max("first").over(Window.partitionBy("file_id", "block"))
+    parts = parts.withColumn("at", F.when(F.col("start").isNull() | (F.col("first") == ends), F.lit(-1)).otherwise(F.col("block")))
     over_file = Window.partitionBy("file_id", "at").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
     return (
         parts.withColumn("entry", F.last("start", ignorenulls=True).over(over_file))
         .where(F.col("entry").isNotNull())
         .groupBy("file_id", "at", "entry")
-        .agg(F.sum("n").alias("n_lines"), *[F.max(c).alias(c) for c in ("entry_time", "level", "component")], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
+        .agg(F.sum("n_lines").alias("n_lines"), *[F.max(c).alias(c) for c in ("entry_time", "level", "component")], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
         .select("file_id", F.col("entry").alias("line_no"), "n_lines", "entry_time", "level", "component", F.concat_ws("\n", F.transform("texts", lambda t: t["text"])).alias("message"))
     )

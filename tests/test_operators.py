@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.badrows import CONNECTIONS, Field, RowSchema, classify_rows
 from logloom.operators.lines import host_key, instant_seconds, once_per_line
-from logloom.operators.logentries import HeaderMachine, log_entries, read_header, scan_object, scan_pairs
+from logloom.operators.logentries import Chars, HeaderMachine, grammar, log_entries, read_header, scan_object, scan_pairs
 from logloom.operators.sessions import sessionize
 from logloom.operators.tasks import task_count, tree_levels
 from logloom.operators.treeagg import tree_count
@@ -269,6 +269,42 @@ def test_machine_is_deterministic_and_reused():
     assert m.run(line) == first and len(m._states) == states and line[first[2] :] == "hello"
 
 
+def test_no_length_makes_a_difference():
+    long = "n" * 300
+    assert read_header(f"{long}=1 ts=2005-05-02T16:45:05Z component=x msg=short") == ("2005-05-02 16:45:05", "", "x", "short")
+    assert read_header("111505208451.5 crit/a: b") == (f"{datetime.fromtimestamp(111505208451, timezone.utc):%Y-%m-%d %H:%M:%S}", "FATAL", "a", "b")
+    assert read_header("9" * 6000 + ".5 crit/a: b") is None and read_header("9" * 20 + ".5 crit/a: b") is None
+
+
+def test_grammars_are_a_parameter(spark):
+    own = {"starred": [grammar("** ", [(Chars("0123456789"), "1", "day"), "9:1"], ".", [(Chars("0123456789"), "1", "month"), "9:1"], " ", [(Chars("0123456789"), "1", "clock"), "9:1", ":", "9:2", ":", "9:2"], " <", (Chars(">", False), "+", "name"), (">", "1", "name_end"), " ")]}
+    lines = ["** 09.05 16:38:41 <a b> hello", "May  9 16:38:41 ferry ftpd[13493]: more", "** 31.02 16:38:41 <a b> hello"]
+    df = spark.createDataFrame([(1, i, s, datetime(2005, 1, 1)) for i, s in enumerate(lines)], "file_id int, line_no int, line string, opened_at timestamp")
+    assert rows(log_entries(df, grammars=own)) == [(1, 0, 3, "2005-05-09 16:38:41", "", "a b", "\n".join(["hello", *lines[1:]]))]
+
+
+def test_attached_lines_match_brute_force_over_batches(spark):
+    rng, head = random.Random(4), "May  9 16:38:41 h p[1]: "
+    data = [(f, n, head + str(n) if rng.random() < rng.choice([0.02, 0.5]) else str(n)) for f in range(4) for n in rng.sample(range(1, 900), rng.choice([1, 40, 500]))]
+    want = []
+    for f, n, line in sorted(data):
+        if line.startswith(head):
+            want.append([f, n, 1, line[len(head) :]])
+        elif want and want[-1][0] == f:
+            want[-1][2] += 1
+            want[-1][3] += "\n" + line
+    copies = [(*d, datetime(2005, 5, 9)) for d in data for _ in range(rng.choice([1, 1, 3]))]
+    rng.shuffle(copies)
+    df = spark.createDataFrame(copies, "file_id bigint, line_no bigint, line string, opened_at timestamp").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for records in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            assert [[r["file_id"], r["line_no"], r["n_lines"], r["message"]] for r in log_entries(df, block_lines=50).orderBy("file_id", "line_no").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 @pytest.mark.parametrize("block", [2, 3, 8192])
 def test_entries(spark, block):
     head = "May  9 16:38:41 h p[1]: "
