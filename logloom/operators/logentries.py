@@ -368,8 +368,8 @@ def read_header(line: str, machine: HeaderMachine = MACHINE) -> tuple[str, str,
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # tells pairs apart, but for chance
 _PARSED = "file_id bigint, line_no bigint, year string, head boolean, entry_time string, level string, component string, text string"
 _SCHEMA = pa.schema([("file_id", pa.int64()), ("line_no", pa.int64()), ("year", pa.string()), ("head", pa.bool_()), *((c, pa.string()) for c in ("entry_time", "level", "component", "text"))])
-_PARTS = "file_id bigint, block bigint, start bigint, first bigint, n_lines bigint, entry_time string, level string, component string, text string"
-_PARTS_SCHEMA = pa.schema([*((c, pa.int64()) for c in ("file_id", "block", "start", "first", "n_lines")), *((c, pa.string()) for c in ("entry_time", "level", "component", "text"))])
+_PARTS = "file_id bigint, block bigint, edge boolean, start bigint, first bigint, n_lines bigint, entry_time string, level string, component string, text string"
+_PARTS_SCHEMA = pa.schema([("file_id", pa.int64()), ("block", pa.int64()), ("edge", pa.bool_()), *((c, pa.int64()) for c in ("start", "first", "n_lines")), *((c, pa.string()) for c in ("entry_time", "level", "component", "text"))])
 
 
 def _parser(machine: HeaderMachine):
@@ -396,15 +396,16 @@ def _parser(machine: HeaderMachine):
 
 
 def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in order of (file, block, line number) to the parts of entries in each block: (start, NULL before the block's first header; the
-    first line; lines; fields; text).
+    """Lines in order of (file, block, line number) to the parts of entries in each block: (whether it may go on beyond an edge of the
+    block; start, NULL before the block's first header; the first line; lines; fields; text).
 
     In the lookahead state after a line, another block's line or one with a header ends the part, a copy of the line is passed over, and any
     other line is attached. Parts are cut from whole batches at once; what isn't at its end waits for the next batch.
     """
     waiting: list[pa.Table] = []
 
-    def parts(t: pa.Table) -> pa.RecordBatch:
+    def parts(t: pa.Table, following: tuple[int, int] | None) -> pa.RecordBatch:
+        """The parts in whole ones; ``following`` is the file and block of the line after them."""
         t = t.combine_chunks()
         file, block, line, head = (t.column(c).to_numpy() for c in ("file_id", "block", "line_no", "head"))
         at = np.flatnonzero(_ends(file, block, head))
@@ -412,9 +413,12 @@ def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = t.column("text").chunk(0)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate((at, ends[-1:])), pa.int32()), text), "\n")
         firsts = pa.array(at)
+        last_of_block = np.ones(len(at), dtype=bool)
+        last_of_block[:-1] = (file[at[1:]] != file[at[:-1]]) | (block[at[1:]] != block[at[:-1]])
+        last_of_block[-1] = following != (file[-1], block[-1])
         start = pa.array(line[at], pa.int64(), mask=~head[at])
         fields = [t.column(c).chunk(0).take(firsts) for c in ("entry_time", "level", "component")]
-        return pa.RecordBatch.from_arrays([pa.array(file[at]), pa.array(block[at]), start, pa.array(line[at]), pa.array(ends - at), *fields, texts], schema=_PARTS_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(file[at]), pa.array(block[at]), pa.array(last_of_block | ~head[at]), start, pa.array(line[at]), pa.array(ends - at), *fields, texts], schema=_PARTS_SCHEMA)
 
     last: tuple[int, int] | None = None
     for b in batches:
@@ -436,11 +440,11 @@ def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(cuts):
             done = [*waiting, t.slice(0, int(cuts[-1]))]
             if sum(x.num_rows for x in done):
-                yield parts(pa.concat_tables(done))
+                yield parts(pa.concat_tables(done), (file[cuts[-1]], block[cuts[-1]]))
             waiting = []
         waiting.append(t.slice(int(cuts[-1]) if len(cuts) else 0))
     if waiting:
-        yield parts(pa.concat_tables(waiting))
+        yield parts(pa.concat_tables(waiting), None)
 
 
 def _ends(file: np.ndarray, block: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -476,8 +480,7 @@ def log_entries(
     parts = lines.repartition("file_id", "block").sortWithinPartitions("file_id", "block", "line_no").mapInArrow(_attach, _PARTS)
     # What reaches over an edge of blocks is a block's first part, if it has no header, and its last: these meet in one group of the file, in
     # order; all others are whole entries.
-    ends = F.max("first").over(Window.partitionBy("file_id", "block"))
-    parts = parts.withColumn("at", F.when(F.col("start").isNull() | (F.col("first") == ends), F.lit(-1)).otherwise(F.col("block")))
+    parts = parts.withColumn("at", F.when(F.col("edge"), F.lit(-1)).otherwise(F.col("block")))
     over_file = Window.partitionBy("file_id", "at").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
     return (
         parts.withColumn("entry", F.last("start", ignorenulls=True).over(over_file))
