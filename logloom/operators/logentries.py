@@ -478,14 +478,17 @@ def log_entries(
     time = F.when(F.col("entry_time").startswith("-"), F.concat("year", "entry_time")).otherwise(F.col("entry_time"))
     lines = parsed.select("file_id", F.floor(F.col("line_no") / block_lines).alias("block"), "line_no", "head", time.alias("entry_time"), "level", "component", "text")
     parts = lines.repartition("file_id", "block").sortWithinPartitions("file_id", "block", "line_no").mapInArrow(_attach, _PARTS)
-    # What reaches over an edge of blocks is a block's first part, if it has no header, and its last: these meet in one group of the file, in
-    # order; all others are whole entries.
-    parts = parts.withColumn("at", F.when(F.col("edge"), F.lit(-1)).otherwise(F.col("block")))
-    over_file = Window.partitionBy("file_id", "at").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        parts.withColumn("entry", F.last("start", ignorenulls=True).over(over_file))
+    # What reaches over an edge of blocks meets in one group of the file, in order; all other parts are whole entries and stay where they are.
+    # Both branches read the same shuffled lines.
+    fields = ("entry_time", "level", "component")
+    whole = parts.where(~F.col("edge")).select("file_id", F.col("start").alias("line_no"), "n_lines", *fields, F.col("text").alias("message"))
+    over_file = Window.partitionBy("file_id").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    joined = (
+        parts.where("edge")
+        .withColumn("entry", F.last("start", ignorenulls=True).over(over_file))
         .where(F.col("entry").isNotNull())
-        .groupBy("file_id", "at", "entry")
-        .agg(F.sum("n_lines").alias("n_lines"), *[F.max(c).alias(c) for c in ("entry_time", "level", "component")], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
-        .select("file_id", F.col("entry").alias("line_no"), "n_lines", "entry_time", "level", "component", F.concat_ws("\n", F.transform("texts", lambda t: t["text"])).alias("message"))
+        .groupBy("file_id", "entry")
+        .agg(F.sum("n_lines").alias("n_lines"), *[F.max(c).alias(c) for c in fields], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
+        .select("file_id", F.col("entry").alias("line_no"), "n_lines", *fields, F.concat_ws("\n", F.transform("texts", lambda t: t["text"])).alias("message"))
     )
+    return whole.union(joined)
