@@ -35,7 +35,8 @@ def run(tables: Tables, query: str, o: argparse.Namespace, println=print) -> Non
         return
     if o.show_run_stats:
         p, rows, statistics = tables.run_with_statistics(o.files, s)
-        printer.rows(p.names, p.types, rows)
+        for r in rows:
+            printer.row(p.names, p.types, r)
         println(str(statistics))
         return
     p = tables.plan((line for line in sys.stdin) if o.stdin else ReadLinesIterator(*o.files), s)

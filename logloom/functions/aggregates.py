@@ -42,10 +42,8 @@ def build(name: str, args: list[Typed], distinct: bool, order: Callable[[], Colu
         _check(name, args[0], INT, REAL)
         return Typed((F.stddev_pop if name == "stddev" else F.var_pop)(args[0].to(REAL)), REAL)
     if name == "percentile":
-        p = args[1].literal
-        if not isinstance(p, float | int) or isinstance(p, bool):
-            raise BindError("percentile takes a number between 0.0 and 1.0 as its second argument")
-        p = min(max(float(p), 0.0), 1.0)
+        # Over followed files only: the planner works out others from counts.
+        p = percentile_share(args)
         # The value at the place floor(p * n) of the sorted values, the last one for p = 1.
         place = F.least(F.floor(F.count(x) * F.lit(p)), F.count(x) - 1)
         return Typed(F.get(F.sort_array(F.collect_list(x)), place.cast("int")), kind)
@@ -66,6 +64,16 @@ def build(name: str, args: list[Typed], distinct: bool, order: Callable[[], Colu
     return Typed(F.when(F.count(text) > 0, F.array_join(F.transform(kept, lambda z: z["x"]), delimiter)), TEXT)
 
 
+def percentile_share(args: list[Typed]) -> float:
+    """The second argument of a percentile, between 0 and 1."""
+    if len(args) != 2:
+        raise BindError(f"percentile takes 2 arguments, not {len(args)}")
+    p = args[1].literal
+    if not isinstance(p, float | int) or isinstance(p, bool):
+        raise BindError("percentile takes a number between 0.0 and 1.0 as its second argument")
+    return min(max(float(p), 0.0), 1.0)
+
+
 def _check(name: str, arg: Typed, *allowed) -> None:
     if arg.type not in allowed and arg.type != NULL:
         raise BindError(f"{name} takes {', '.join(map(str, allowed))}, not {arg.type}")

@@ -6,8 +6,10 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.plans import tree
@@ -147,17 +149,40 @@ class Tables:
     def execute_compiled_query_callback(self, lines: Lines | None, query: tree.Select, callback: Callable[[list[dict[str, Any]]], Any], **more: Any) -> None:
         self.execute_query_callback(lines, query, callback, **more)
 
-    def run_with_statistics(self, paths: list[str], query: str | tree.Select) -> tuple[Plan, list, Statistics]:
-        """Runs a statement over files and counts what it reads; with a LIMIT that is less than the files hold."""
+    def run_with_statistics(self, paths: list[str], query: str | tree.Select) -> tuple[Plan, Iterator, Statistics]:
+        """Runs a statement over files: its plan, its rows as they come, and what was read for them, complete once all rows are taken.
+
+        With a LIMIT less may be read than the files hold; a joined file counts, too.
+        """
         s = compile_query(query) if isinstance(query, str) else query
-        seen = Observation("read")
-        source = read_lines(self.spark, s.path or paths, needs_order(s))
-        source = source.observe(seen, F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
-        began = time.time()
-        p = plan(s, self._tables, source, lambda path: read_lines(self.spark, path))
-        rows = p.df.collect()
-        got = seen.get
-        return p, rows, Statistics(time.time() - began, got["lines"], got["bytes"] / 1e6)
+        p = plan(s, self._tables, read_lines(self.spark, s.path or paths, needs_order(s)), lambda path: read_lines(self.spark, path))
+        statistics = Statistics(0.0, 0, 0.0)
+
+        def rows() -> Iterator:
+            context, group, began = self.spark.sparkContext, uuid4().hex, time.time()
+            context.setJobGroup(group, "statement with statistics")
+            try:
+                yield from p.df.toLocalIterator()
+            finally:
+                statistics.seconds = time.time() - began
+                statistics.lines, read = _read_by(context, group)
+                statistics.megabytes = read / 1e6
+                context.setLocalProperty("spark.jobGroup.id", None)
+
+        return p, rows(), statistics
+
+
+def _read_by(context: SparkContext, group: str) -> tuple[int, int]:
+    """Lines and bytes that the tasks of a job group have read from files, by Spark's own metrics."""
+    sc, tracker = context._jsc.sc(), context.statusTracker()
+    sc.listenerBus().waitUntilEmpty()
+    infos = [i for i in map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)) if i is not None]
+    lines = read = 0
+    for stage in sorted({s for i in infos for s in i.stageIds}):
+        if tracker.getStageInfo(stage) is not None:
+            data = sc.statusStore().lastStageAttempt(stage)
+            lines, read = lines + data.inputRecords(), read + data.inputBytes()
+    return lines, read
 
 
 def _batches(rows: Iterator, size: int) -> Iterator[list]:

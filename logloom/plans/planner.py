@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.aggregates import AGGREGATES, ORDERED, build
+from logloom.functions.aggregates import AGGREGATES, ORDERED, build, percentile_share
 from logloom.functions.scalars import Typed
 from logloom.plans import tree
 from logloom.plans.binder import Scope, bind, truth
@@ -30,6 +32,7 @@ class Plan:
     types: list[SqlType]
     aggregate: bool
     limit: int | None = None  # for streams, which are stopped from outside
+    distinct: bool = False  # for streams of groups, whose copies are dropped outside
 
     @property
     def names(self) -> list[str]:
@@ -51,6 +54,8 @@ def is_aggregate(s: tree.Select) -> bool:
 
 
 def needs_order(s: tree.Select) -> bool:
+    if s.distinct and not is_aggregate(s):
+        return True
     nodes = [*(p.expression for p in s.projections), *([s.having] if s.having else [])]
     return any(a.name in ORDERED for n in nodes for a in aggregates_in(n))
 
@@ -78,9 +83,14 @@ def plan(s: tree.Select, tables: dict[str, tree.TableDef], lines: DataFrame, joi
     if s.having is not None:
         raise BindError("HAVING needs GROUP BY or an aggregate")
     values = [(n, bind(e, scope)) for n, e in projections]
-    out = base.select(*[_output(v).alias(n) for n, v in values])
-    if s.distinct:
-        out = out.dropDuplicates()
+    if s.distinct and not streaming and ORDER in base.columns:
+        # Each row once, in the order of its first line.
+        out = base.select(*[_output(v).alias(f"_p{i}") for i, (_, v) in enumerate(values)], ORDER).groupBy(*[f"_p{i}" for i in range(len(values))]).agg(F.min(ORDER).alias("_first"))
+        out = out.orderBy("_first").select(*[F.col(f"_p{i}").alias(n) for i, (n, _) in enumerate(values)])
+    else:
+        out = base.select(*[_output(v).alias(n) for n, v in values])
+        if s.distinct:
+            out = out.dropDuplicates()
     if s.limit is not None and not streaming:
         out = out.limit(s.limit)
     return Plan(out, [v.type for _, v in values], False, s.limit)
@@ -162,7 +172,7 @@ def _aggregate(s: tree.Select, base: DataFrame, scope: Scope, projections: list[
         if isinstance(k, tree.Name):
             same = {tree.Name(k.name), tree.Name(k.name, s.table)} if k.table in (None, s.table) else {k}
             known.update({n: known[k] for n in same})
-    columns = []
+    columns, ranked = [], {}
     for i, call in enumerate(calls):
         args = () if call.args == (tree.Star(),) else call.args
         if any(aggregates_in(a) for a in args):
@@ -170,6 +180,10 @@ def _aggregate(s: tree.Select, base: DataFrame, scope: Scope, projections: list[
         if call.name == "count" and args and not isinstance(args[0], tree.Name):
             raise BindError("count takes a column")
         typed = [bind(a, scope) for a in args]
+        if call.name == "percentile" and not streaming:
+            known[call] = Typed(F.col(f"_a{i}"), typed[0].type)
+            ranked.setdefault(args[0], (typed[0], []))[1].append((f"_a{i}", percentile_share(typed)))
+            continue
         if call.name == "count" and call.distinct and streaming and typed:
             made = Typed(F.array_size(F.collect_set(typed[0].column)).cast("bigint"), INT)
         else:
@@ -180,6 +194,8 @@ def _aggregate(s: tree.Select, base: DataFrame, scope: Scope, projections: list[
     d = base.groupBy(*[_output(v).alias(f"_k{i}") for i, (_, v) in enumerate(keys)]).agg(*columns, hidden)
     if not keys:
         d = d.where("_rows > 0")
+    for value, picks in ranked.values():
+        d = _with_percentiles(d, base, keys, value, picks)
     if len(calls) == 1 and calls[0].name == "count" and calls[0].args not in ((), (tree.Star(),)):
         d = d.where("_a0 > 0")
     after = Scope(scope.names, known, grouped=True)
@@ -187,11 +203,31 @@ def _aggregate(s: tree.Select, base: DataFrame, scope: Scope, projections: list[
         d = d.where(truth(bind(s.having, after)))
     values = [(n, bind(e, after)) for n, e in projections]
     order = [F.col(f"_k{i}").asc_nulls_first() for i in range(len(keys))]
-    if s.distinct:
+    if s.distinct and not streaming:
         d = d.groupBy(*[_output(v).alias(f"_p{i}") for i, (_, v) in enumerate(values)]).agg(*[F.min(F.struct(*[f"_k{i}" for i in range(len(keys))])).alias("_first")] if keys else [F.count(F.lit(1)).alias("_first")])
         d = d.orderBy("_first").select(*[F.col(f"_p{i}").alias(n) for i, (n, _) in enumerate(values)])
     else:
         d = (d.orderBy(*order) if order else d).select(*[_output(v).alias(n) for n, v in values])
     if s.limit is not None and not streaming:
         d = d.limit(s.limit)
-    return Plan(d, [v.type for _, v in values], True, s.limit)
+    return Plan(d, [v.type for _, v in values], True, s.limit, s.distinct and streaming)
+
+
+def _with_percentiles(groups: DataFrame, base: DataFrame, keys: list[tuple[tree.Node, Typed]], value: Typed, picks: list[tuple[str, float]]) -> DataFrame:
+    """Adds, for each (column, share), the value at the place floor(share * n) of a group's sorted values, the last one for a share of 1.
+
+    Values are counted first; running sums over a group's distinct values find the place, so that no group is ever held in memory.
+    """
+    names = [f"_q{i}" for i in range(len(keys))] or ["_q"]
+    of = [_output(v).alias(n) for n, (_, v) in zip(names, keys)] or [F.lit(0).alias("_q")]
+    counts = base.select(*of, _output(value).alias("_x")).where("_x IS NOT NULL").groupBy(*names, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*names)
+    counts = counts.withColumn("_upto", F.sum("_n").over(group.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_of", F.sum("_n").over(group))
+    found = []
+    for column, share in picks:
+        place = F.least(F.floor(F.col("_of") * F.lit(share)), F.col("_of") - 1)
+        found.append(F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col("_x"))).alias(column))
+    if not keys:
+        groups = groups.withColumn("_k0", F.lit(0))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    return groups.join(counts.groupBy(*names).agg(*found), reduce(and_, same), "left").drop(*names)

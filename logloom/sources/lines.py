@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.lines import without_cr
+from logloom.sources.shared import spool
 
 #: Numbers the lines in the order of files and of their lines, where that order matters.
 ORDER = "_order"
@@ -44,6 +45,12 @@ def read_lines(spark: SparkSession, paths: str | list[str], ordered: bool = Fals
 
 
 def python_lines(spark: SparkSession, lines: Iterable[str], ordered: bool = False) -> DataFrame:
-    """Lines of any Python iterable; a line feed at a line's end isn't part of it."""
+    """Lines of any Python iterable; a line feed at a line's end isn't part of it.
+
+    Lists and tuples are in memory already and go to Spark as they are; what comes from any other iterable goes through a file, a block at a
+    time, so that no more than that is held.
+    """
+    if not isinstance(lines, list | tuple):
+        return read_lines(spark, spool(spark, lines), ordered)
     df = spark.createDataFrame([(x.removesuffix("\n").removesuffix("\r"),) for x in lines], "value string")
     return df.select("value", F.struct(F.monotonically_increasing_id().alias("i")).alias(ORDER)) if ordered else df

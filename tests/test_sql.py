@@ -18,7 +18,7 @@ from logloom.plans.errors import BindError, LoomError, PatternError, RunError, S
 from logloom.plans.grammar import completion_words, parse
 from logloom.plans.lexer import tokens
 from logloom.plans.types import INT, INTERVAL, NULL, REAL, TEXT, TIMESTAMP, array_of
-from logloom.sources.lines import FollowFileIterator, ReadLinesIterator
+from logloom.sources.lines import FollowFileIterator, ReadLinesIterator, python_lines
 from logloom.sources.patterns import compile_pattern
 from logloom.sources.sinks import Printer
 from logloom.streaming.follow import follow_query
@@ -245,6 +245,32 @@ def test_aggregates(spark):
             t.sql(bad, lines)
 
 
+def test_percentiles_match_brute_force(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", ""]), rng.choice([None, rng.randint(-9, 9)]), rng.choice(["x", "yy", "z"])) for _ in range(400)]
+    t = Tables(spark)
+    t.add_table("CREATE TABLE t(p = split ';', p[1] => g TEXT, p[2] => i INT, p[3] => s TEXT);")
+    lines = [f"{g};{'' if i is None else i};{s}" for g, i, s in data]
+
+    def pick(values, share):
+        values = sorted(v for v in values if v is not None)
+        return values[min(int(share * len(values)), len(values) - 1)] if values else None
+
+    q = "PERCENTILE(i, 0.0) AS a, PERCENTILE(i, 0.25) AS b, PERCENTILE(s, 0.5) AS c, PERCENTILE(i * i, 0.9) AS d, PERCENTILE(i, 1.0) AS e, COUNT(*) AS n FROM t WHERE g != 'b' OR i > 100"
+    want = []
+    for g in ["", "a"]:
+        of = [d for d in data if d[0] == g]
+        i, s = [d[1] for d in of], [d[2] for d in of]
+        want.append((g, pick(i, 0), pick(i, 0.25), pick(s, 0.5), pick([x and x * x if x else x for x in i], 0.9), pick(i, 1), len(of)))
+    assert values(t, lines, f"SELECT g, {q} GROUP BY g HAVING PERCENTILE(i, 0.5) > -100") == want
+    i, s = ([d[k] for d in data if d[0] != "b"] for k in (1, 2))
+    assert values(t, lines, f"SELECT {q}") == [(pick(i, 0), pick(i, 0.25), pick(s, 0.5), pick([x * x if x else x for x in i], 0.9), pick(i, 1), len(i))]
+    assert values(t, ["a;;x"], "SELECT g, PERCENTILE(i, 0.5) AS p FROM t GROUP BY g") == [("a", None)]
+    assert values(t, ["a;;x"], "SELECT PERCENTILE(i, 0.5) AS p, COUNT(*) AS n FROM t") == [(None, 1)]
+    assert values(t, [], "SELECT PERCENTILE(i, 0.5) AS p FROM t") == []
+    assert "collect_list" not in plan_of(t.sql(f"SELECT {q}", lines))
+
+
 def test_order_of_lines_across_files_and_tasks(spark, tmp_path):
     paths = []
     for k in (2, 1):
@@ -262,7 +288,8 @@ def test_order_of_lines_across_files_and_tasks(spark, tmp_path):
 
 
 def test_distinct_and_limit(tables):
-    assert sorted(values(tables, FTP_LINES, "SELECT DISTINCT a, b FROM connections")) == [("x", "y"), ("x", "z"), ("y", "y")]
+    assert values(tables, FTP_LINES, "SELECT DISTINCT a, b FROM connections") == [("x", "y"), ("x", "z"), ("y", "y")]
+    assert values(tables, FTP_LINES, "SELECT DISTINCT b FROM connections LIMIT 1") == [("y",)]
     assert len(values(tables, FTP_LINES, "SELECT ip FROM connections LIMIT 2")) == 2
     assert values(tables, FTP_LINES, "SELECT ip FROM connections LIMIT 0") == []
 
@@ -348,7 +375,7 @@ def test_embedding(tables, tmp_path):
     tables.execute_compiled_query_callback(iter(FTP_LINES), query, groups.append)
     assert groups == [[{"hostname": "h1", "count": 2}, {"hostname": "h2", "count": 1}]]
     _, rows, statistics = tables.run_with_statistics([str(path)], query)
-    assert len(rows) == 2 and statistics.lines == 5 and statistics.megabytes > 0 and "5 lines" in str(statistics)
+    assert len(list(rows)) == 2 and statistics.lines == 5 and statistics.megabytes > 0 and "5 lines" in str(statistics)
     with pytest.raises(RunError):
         tables.sql("SELECT ip FROM connections", FollowFileIterator("x"))
     with pytest.raises(RunError):
@@ -419,6 +446,24 @@ def test_follow_groups_until_told_to_stop(tables, tmp_path):
         q.stop()
 
 
+def test_follow_distinct_groups(tables, tmp_path):
+    path, got = tmp_path / "d.log", []
+    path.write_text("\n".join(FTP_LINES) + "\n")
+    q = follow_query(tables, compile_query("SELECT DISTINCT COUNT(*) AS n FROM connections GROUP BY ip"), str(path), lambda names, types, rows: got.append([tuple(r) for r in rows]) or False, head=True)
+    try:
+        q.awaitTermination(60)
+        assert got == [[(2,), (1,)]]
+    finally:
+        q.stop()
+
+
+def test_iterables_go_through_a_file(spark, tables):
+    lines = python_lines(spark, (x for x in ["a\r\n", "b\n", "", "ü", "last"]), True)
+    assert [r["value"] for r in lines.orderBy("_order").collect()] == ["a", "b", "", "ü", "last"]
+    assert sorted(values(tables, iter(FTP_LINES), "SELECT n FROM connections WHERE n > 5")) == [(6,), (7,)]
+    assert python_lines(spark, iter([])).collect() == []
+
+
 def test_followed_files_cant_be_joined(tables, tmp_path):
     (tmp_path / "f.log").write_text("")
     with pytest.raises(RunError):
