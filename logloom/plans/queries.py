@@ -1,7 +1,8 @@
 """Statements of the SQL layer over the test tables' lines, each over all lines, and their SQL for DuckDB.
 
 Columns of lines are read as they were written; numeric tables are first rendered as lines, so that every statement takes the whole way from
-the definition of a table over its extraction to the result.
+the definition of a table over its extraction to the result. Statements named ``file_`` read text files, which are first written to the session's
+shared folder; those named ``print_`` go through the command line and give the lines it prints.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom import cli
 from logloom.operators.lines import read_table, without_cr
 from logloom.plans import tree
+from logloom.plans.engine import Tables
 from logloom.plans.grammar import parse
 from logloom.plans.planner import needs_order, plan
+from logloom.sources.lines import ReadLinesIterator
+from logloom.sources.shared import lines_file
 
 CONNECTIONS = """CREATE TABLE connections(
     line = 'connection from ([0-9.]+) \\\\((.+)?\\\\) at ([a-zA-Z]+) ([a-zA-Z]+) ([0-9]+) ([0-9]+):([0-9]+):([0-9]+) ([0-9]+)',
@@ -40,6 +45,9 @@ PROPS = "CREATE TABLE props({ .k } => k INT);"
 ORDERS = """CREATE TABLE orders(o = split ';', o[1] => orderkey INT NOT NULL, o[2] => custkey INT, o[3] => status TEXT);
 CREATE TABLE customer(c = split ';', c[1] => custkey INT NOT NULL, c[2] => segment TEXT);"""
 EMBEDDINGS = "CREATE TABLE embeddings({ .id } => id INT, { .v } => v REAL[], { .v[0] } => first REAL);"
+NESTED = "CREATE TABLE embeddings({ .id } => id INT, { .m } => m REAL[][], { .m[1][0] } => third REAL);"
+MOMENTS = r"""CREATE TABLE moments('^(\\d+)' => id INT, u = ' u (\\d+) (\\d+) (\\d+) (\\d+) (\\d+) (\\d+) (\\d+)', m = ' m (\\d+) (\\d+) (\\d+) (\\d+)$',
+    u[1], u[2], u[3], u[4], u[5], u[6], u[7] => at TIMESTAMP MICROSECONDS, u[1], u[2], u[3], m[1], m[2], m[3], m[4] => coarse TIMESTAMP, u[1], u[2], u[3] => date INT[]);"""
 
 
 def _of_kind(kind: str):
@@ -73,6 +81,8 @@ _LINES = {
     "dummy2": _column("dummy2", "line"),
     "lineitem": _rendered("lineitem", "concat_ws(';', l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag, concat(' ', l_linestatus, ' '))", "l_orderkey, l_linenumber, l_returnflag"),
     "events": _rendered("events", "concat(event_id, ' ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), ' user=', user_id, ' ', event_type, if(value > 50, ' big', ''), if(event_id % 3 = 0, '', concat(' k=', if(event_id % 3 = 1, '', cast(get_json_object(props, '$.k') as string)))))", "event_id"),
+    "moments": _rendered("events", "concat(event_id, ' u ', date_format(ts, 'yyyy MM dd HH mm ss SSSSSS'), ' m ', date_format(ts, 'HH mm ss SSS'))", "event_id"),
+    "nested": _rendered("embeddings", "to_json(named_struct('id', vec_id, 'm', array(transform(slice(embedding, 1, 2), x -> cast(x as double)), transform(slice(embedding, 3, 2), x -> cast(x as double)))))", "vec_id"),
     "props": _rendered("events", "props", "event_id"),
     "orders": _rendered("orders", "concat_ws(';', o_orderkey, if(o_orderkey % 7 = 0, '', cast(o_custkey as string)), o_orderstatus)", "o_orderkey"),
     "customer": _rendered("customer", "concat_ws(';', c_custkey, c_mktsegment)", "c_custkey"),
@@ -108,13 +118,14 @@ STATEMENTS: dict[str, tuple[str, str, str, str]] = {
     "json_rows": (CLIENTS, "clients", "SELECT timestamp, device_id, mac_address, events FROM clients", "SELECT \"timestamp\", device_id, mac_address, events FROM clients WHERE \"timestamp\" IS NOT NULL OR device_id IS NOT NULL OR mac_address IS NOT NULL OR events IS NOT NULL"),
     "json_items": (CLIENTS, "clients", "SELECT device_id, events[1] AS first, array_length(events) AS n FROM clients WHERE device_id IS NOT NULL", "SELECT device_id, events[1] \"first\", len(events) n FROM clients WHERE device_id IS NOT NULL"),
     "json_filter": (PROPS, "props", "SELECT COUNT(*) AS n, MIN(k) AS low, MAX(k) AS high FROM props WHERE k > 50", "SELECT count(*) n, min(k) low, max(k) high FROM (SELECT try_cast(props->>'k' AS BIGINT) k FROM events) WHERE k > 50 HAVING count(*) > 0"),
-    "json_reals": (EMBEDDINGS, "embeddings", "SELECT id, array_length(v) AS n, first > 0.0 AS up FROM embeddings", "SELECT vec_id id, len(embedding) n, embedding[1] > 0 up FROM embeddings"),
+    "json_reals": (EMBEDDINGS, "embeddings", "SELECT id, v, array_length(v) AS n, first FROM embeddings", "SELECT vec_id id, embedding::DOUBLE[] v, len(embedding) n, embedding[1]::DOUBLE \"first\" FROM embeddings"),
+    "json_nested": (NESTED, "nested", "SELECT id, m[1] AS pair, m[2][1] AS x, third, array_length(m) AS n FROM embeddings", "SELECT vec_id id, embedding[1:2]::DOUBLE[] pair, embedding[3]::DOUBLE x, embedding[3]::DOUBLE third, 2::BIGINT n FROM embeddings"),
     "join_inner": (DUMMY, "dummy1", "SELECT dummy1.hostname, min, dummy2.max FROM dummy1 INNER JOIN dummy2::'dummy2' ON dummy1.hostname = dummy2.hostname", 'SELECT a.hostname "dummy1.hostname", a."min", b."max" "dummy2.max" FROM dummy1 a JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname'),
     "join_outer": (DUMMY, "dummy1", "SELECT * FROM dummy1 OUTER JOIN dummy2::'dummy2' ON dummy2.hostname = dummy1.hostname", 'SELECT a.hostname, a."min", b.hostname "dummy2.hostname", b."max" FROM dummy1 a LEFT JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname'),
     "join_count": (DUMMY, "dummy1", "SELECT hostname, COUNT(*) AS n FROM dummy1 OUTER JOIN dummy2::'dummy2' ON dummy1.hostname = dummy2.hostname GROUP BY hostname", "SELECT a.hostname, count(*) n FROM dummy1 a JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname GROUP BY a.hostname"),
     "join_orders": (ORDERS, "orders", "SELECT segment, status, COUNT(*) AS n FROM orders INNER JOIN customer::'customer' ON orders.custkey = customer.custkey GROUP BY segment, status", "SELECT c_mktsegment segment, o_orderstatus status, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 GROUP BY ALL"),
     "item_sums": (LINEITEM, "lineitem", "SELECT flag, status, SUM(quantity) AS sum_qty, AVG(quantity) AS avg_qty, COUNT(*) AS n, AVG(linenumber) AS avg_line FROM lineitem GROUP BY flag, status", "SELECT l_returnflag flag, l_linestatus status, sum(l_quantity) sum_qty, sum(l_quantity) / count(*) avg_qty, count(*) n, (sum(l_linenumber) // count(*))::BIGINT avg_line FROM lineitem GROUP BY ALL"),
-    "item_spread": (LINEITEM, "lineitem", "SELECT flag, (STDDEV(quantity) * 1000.0 + 0.5)::int AS dev, (VARIANCE(linenumber) * 1000.0 + 0.5)::int AS var FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, floor(stddev_pop(l_quantity) * 1000 + 0.5)::BIGINT dev, floor(var_pop(l_linenumber) * 1000 + 0.5)::BIGINT \"var\" FROM lineitem GROUP BY ALL"),
+    "item_spread": (LINEITEM, "lineitem", "SELECT flag, (STDDEV(quantity) * 1000000.0 + 0.5)::int AS dev, (VARIANCE(linenumber) * 1000000.0 + 0.5)::int AS var FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, floor(stddev_pop(l_quantity) * 1000000 + 0.5)::BIGINT dev, floor(var_pop(l_linenumber) * 1000000 + 0.5)::BIGINT \"var\" FROM lineitem GROUP BY ALL"),
     "item_percentile": (LINEITEM, "lineitem", "SELECT status, PERCENTILE(quantity, 0.5) AS mid, PERCENTILE(linenumber, 0.9) AS high, PERCENTILE(quantity, 1.0) AS top FROM lineitem GROUP BY status", "SELECT l_linestatus status, list_sort(list(l_quantity))[floor(0.5 * count(*))::BIGINT + 1] mid, list_sort(list(l_linenumber))[floor(0.9 * count(*))::BIGINT + 1]::BIGINT high, max(l_quantity) top FROM lineitem GROUP BY ALL"),
     "item_flags": (LINEITEM, "lineitem", "SELECT flag, BOOL_AND(quantity > 0.0) AS every, BOOL_OR(quantity >= 50.0) AS some, MAX(quantity) * 2.0 - MIN(quantity) AS span FROM lineitem GROUP BY flag", "SELECT l_returnflag flag, bool_and(l_quantity > 0) \"every\", bool_or(l_quantity >= 50) \"some\", max(l_quantity) * 2 - min(l_quantity) span FROM lineitem GROUP BY ALL"),
     "item_strings": (LINEITEM, "lineitem", "SELECT orderkey, STRING_AGG(flag, ',') AS flags, ARRAY_AGG(linenumber) AS numbers FROM lineitem GROUP BY orderkey", "SELECT l_orderkey orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) flags, list(l_linenumber::BIGINT ORDER BY l_linenumber) numbers FROM lineitem GROUP BY ALL"),
@@ -126,13 +137,69 @@ STATEMENTS: dict[str, tuple[str, str, str, str]] = {
     "event_shift": (EVENTS, "events", "SELECT id, at - '1:30:00'::interval AS before, '0:0:90'::interval + at AS after, at > '2024-01-15 12:00:00' AS late FROM events", "SELECT event_id id, t - INTERVAL 90 MINUTE \"before\", t + INTERVAL 90 SECOND \"after\", t > TIMESTAMP '2024-01-15 12:00:00' late FROM (SELECT event_id, date_trunc('second', ts) t FROM events)"),
     "event_nulls": (EVENTS, "events", "SELECT id, k = NULL AS eq, k != 5 AS ne, NOT (k = 5) AS no, k IS NULL AS empty, k IS NOT 5 AS other, k IN (5, NULL) AS listed, k NOT IN (5, 6) AS unlisted, k + 1 AS more FROM events", f"SELECT event_id id, false eq, coalesce(k <> 5, false) ne, NOT coalesce(k = 5, false) \"no\", k IS NULL \"empty\", k IS DISTINCT FROM 5 other, (k = 5 OR k IS NULL) listed, coalesce(k NOT IN (5, 6), true) unlisted, k + 1 more FROM (SELECT event_id, {_K} k FROM events)"),
     "event_case": (EVENTS, "events", "SELECT kind, SUM(CASE WHEN k > 50 THEN 1 WHEN k IS NULL THEN 100 ELSE 0 END) AS score FROM events WHERE kind IN ('click', 'view') OR big AND user_id > 10 GROUP BY kind", f"SELECT event_type kind, sum(CASE WHEN k > 50 THEN 1 WHEN k IS NULL THEN 100 ELSE 0 END)::BIGINT score FROM (SELECT *, {_K} k FROM events) WHERE (event_type IN ('click', 'view') OR \"value\" > 50) AND user_id > 10 GROUP BY event_type"),
-    "event_math": (EVENTS, "events", "SELECT id, -user_id / 7 AS q, abs(-user_id) AS a, pow(k, 2) AS sq, sqrt(k::real) >= 5.0 AS root, greatest(k, user_id) AS hi, least(k, user_id) AS lo, id::real / 0.0 > 0.0 AND id > 0 AS inf FROM events", f"SELECT event_id id, (-(user_id // 7))::BIGINT q, user_id a, (k * k)::BIGINT sq, coalesce(sqrt(k) >= 5, false) root, CASE WHEN k IS NOT NULL THEN greatest(k, user_id) END hi, CASE WHEN k IS NOT NULL THEN least(k, user_id) END lo, event_id > 0 inf FROM (SELECT *, {_K} k FROM events)"),
+    "event_math": (EVENTS, "events", "SELECT id, -user_id / 7 AS q, abs(-user_id) AS a, pow(k, 2) AS sq, sqrt(k::real) AS root, id::real / 7.0 AS part, pow(k::real, 2.0) AS square, greatest(k, user_id) AS hi, least(k, user_id) AS lo, id::real / 0.0 > 0.0 AND id > 0 AS inf FROM events", f"SELECT event_id id, (-(user_id // 7))::BIGINT q, user_id a, (k * k)::BIGINT sq, sqrt(k::DOUBLE) root, event_id::DOUBLE / 7.0 part, (k * k)::DOUBLE square, CASE WHEN k IS NOT NULL THEN greatest(k, user_id) END hi, CASE WHEN k IS NOT NULL THEN least(k, user_id) END lo, event_id > 0 inf FROM (SELECT *, {_K} k FROM events)"),
     "event_text": (EVENTS, "events", "SELECT id, upper(kind) AS up, lower(upper(kind)) AS low, length(kind) AS len, id::text AS digits, k::text AS ktext, kind::text AS same, (id::real)::text AS two, big::text AS flag, at::text AS stamp, ARRAY[kind, NULL]::text AS pair FROM events", f"SELECT event_id id, upper(event_type) up, lower(event_type) low, length(event_type) len, event_id::VARCHAR digits, coalesce(k::VARCHAR, 'NULL') ktext, event_type same, event_id::VARCHAR || '.00' two, (\"value\" > 50)::VARCHAR flag, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.000') stamp, '{{''' || event_type || ''', NULL}}' pair FROM (SELECT *, {_K} k FROM events)"),
     "event_arrays": (EVENTS, "events", "SELECT id, array_cat(ARRAY[id, k], ARRAY[user_id]) AS joined, array_append(ARRAY[kind], 'x') AS tail, array_prepend('x', ARRAY[kind]) AS head, array_unique(ARRAY[k, user_id, NULL, k]) AS u FROM events", f"SELECT event_id id, [event_id, k, user_id] joined, [event_type, 'x'] tail, ['x', event_type] head, list_sort(CASE WHEN k IS NULL OR k = user_id THEN [NULL, user_id] ELSE [NULL, k, user_id] END, 'ASC', 'NULLS FIRST') u FROM (SELECT *, {_K} k FROM events)"),
+    "moment_parts": (MOMENTS, "moments", "SELECT id, at, coarse, date FROM moments", "SELECT event_id id, ts \"at\", date_trunc('millisecond', ts) coarse, [year(ts), month(ts), day(ts)] \"date\" FROM events"),
+    "moment_units": (
+        MOMENTS, "moments",
+        "SELECT id, date_trunc('year', at) AS y, date_trunc('month', at) AS mo, date_trunc('day', at) AS d, date_trunc('minute', at) AS mi, date_trunc('second', at) AS s, date_trunc('milliseconds', at) AS ms, date_trunc('microseconds', at) AS us FROM moments",
+        "SELECT event_id id, date_trunc('year', ts)::TIMESTAMP y, date_trunc('month', ts)::TIMESTAMP mo, date_trunc('day', ts)::TIMESTAMP d, date_trunc('minute', ts) mi, date_trunc('second', ts) s, date_trunc('millisecond', ts) ms, ts us FROM events",
+    ),
+    "moment_spans": (
+        MOMENTS, "moments",
+        "SELECT id, ((date_trunc('second', at) - date_trunc('day', at)) + '0:1:30'::interval - '1:0:0'::interval)::int AS span, at - '0:0:5'::interval AS before FROM moments",
+        "SELECT event_id id, (epoch(date_trunc('second', ts)) - epoch(date_trunc('day', ts)) + 90 - 3600)::BIGINT span, ts - INTERVAL 5 SECOND \"before\" FROM events",
+    ),
+    "item_limit": (LINEITEM, "lineitem", "SELECT 'x' AS c FROM lineitem LIMIT 5", "SELECT 'x' c FROM lineitem LIMIT 5"),
     "event_made_time": (EVENTS, "events", "SELECT id, make_timestamp(2024, 2, 29, EXTRACT(hour FROM at), 5, 6, 7) AS made, make_timestamp(2023, 2, 29, 0, 0, 0, 0) AS none, now() > make_timestamp(2020, 1, 1, 0, 0, 0, 0) AS past FROM events", "SELECT event_id id, make_timestamp(2024, 2, 29, hour(ts), 5, 6.000007) made, NULL::TIMESTAMP \"none\", true past FROM events"),
 }
 
 
+#: name -> (definitions, lines of the files, in this order, statement, in which {0} is the first file, SQL); without {0} all files are given beside it.
+FILE_STATEMENTS: dict[str, tuple[str, tuple[str, ...], str, str]] = {
+    "file_rows": (CONNECTIONS, ("split", "log"), "SELECT ip, hostname, day FROM connections WHERE hour >= 12", f'SELECT ip, hostname, "day" {_LOG_SQL} AND "hour" >= 12'),
+    "file_inline": (CONNECTIONS, ("log",), "SELECT hour, COUNT(*) AS n, MAX(minute) AS last FROM connections::'{0}' GROUP BY hour", f'SELECT "hour", count(*) n, max("minute") "last" {_LOG_SQL} GROUP BY "hour"'),
+    "file_split": (CONNECTIONS_SPLIT, ("split",), "SELECT * FROM connections::'{0}'", f'SELECT ip, hostname, "year", "month", "day", "hour", "minute", "second" {_SPLIT_SQL}'),
+    "file_json": (CLIENTS, ("clients",), "SELECT device_id, COUNT(*) AS n, MAX(timestamp) AS last FROM clients::'{0}' GROUP BY device_id", 'SELECT device_id, count(*) n, max("timestamp") "last" FROM clients WHERE "timestamp" IS NOT NULL OR device_id IS NOT NULL OR mac_address IS NOT NULL OR events IS NOT NULL GROUP BY device_id'),
+    "file_join": (ORDERS, ("orders", "customer"), "SELECT segment, COUNT(*) AS n FROM orders::'{0}' INNER JOIN customer::'{1}' ON orders.custkey = customer.custkey GROUP BY segment", "SELECT c_mktsegment segment, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 <> 0 GROUP BY ALL"),
+    "file_outer": (DUMMY, ("dummy1", "dummy2"), "SELECT * FROM dummy1::'{0}' OUTER JOIN dummy2::'{1}' ON dummy2.hostname = dummy1.hostname WHERE min > 2", 'SELECT a.hostname, a."min", b.hostname "dummy2.hostname", b."max" FROM dummy1 a LEFT JOIN dummy2 b ON a.hostname IS NOT DISTINCT FROM b.hostname WHERE a."min" > 2'),
+    "file_order": (SSH, ("ssh",), "SELECT hostname, STRING_AGG(username, ',') AS users FROM ssh::'{0}' GROUP BY hostname", "SELECT hostname, string_agg(username, ',' ORDER BY ssh_id) users FROM ssh WHERE hostname IS NOT NULL GROUP BY hostname"),
+    "file_first_seen": (SSH, ("ssh",), "SELECT DISTINCT username FROM ssh::'{0}' LIMIT 5", "SELECT username FROM ssh WHERE hostname IS NOT NULL GROUP BY username ORDER BY min(ssh_id) LIMIT 5"),
+}
+_PRINTED = "SELECT hour, COUNT(*) AS n, MAX(ip) AS top FROM connections::'{0}' GROUP BY hour"
+_PRINTED_SQL = f'FROM (SELECT "hour", count(*) n, max(ip) top {_LOG_SQL} GROUP BY "hour")'
+#: name -> (the format in which the command line prints the result, statement, SQL)
+PRINT_STATEMENTS: dict[str, tuple[str, str, str]] = {
+    "print_text": ("text", _PRINTED, f"""SELECT format('hour: {{}}, n: {{}}, top: ''{{}}''', "hour", n, top) line {_PRINTED_SQL}"""),
+    "print_json": ("json", _PRINTED, f"""SELECT '{{"hour":' || "hour" || ',"n":' || n || ',"top":"' || top || '"}}' line {_PRINTED_SQL}"""),
+    "print_csv": ("csv", _PRINTED, f"""SELECT 'hour;n;top' line UNION ALL SELECT format('{{}};{{}};''{{}}''', "hour", n, top) {_PRINTED_SQL}"""),
+}
+
+
+def _text_files(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> list[str]:
+    return [lines_file(_LINES[n](spark, sf_dir), "_order") for n in names]
+
+
+def _file_query(definitions: str, files: tuple[str, ...], statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths, tables = _text_files(spark, sf_dir, files), Tables(spark)
+        tables.add_table(definitions)
+        return tables.sql(statement.format(*paths), None if "{0}" in statement else ReadLinesIterator(*paths))
+
+    return run
+
+
+def _print_query(form: str, statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, printed = Tables(spark), []
+        tables.add_table(CONNECTIONS)
+        cli.run(tables, statement.format(*_text_files(spark, sf_dir, ("log",))), cli.arguments().parse_args(["--format", form]), printed.append)
+        return spark.createDataFrame([(x,) for x in printed], "line string")
+
+    return run
+
+
 def _query(definitions: str, lines: str, statement: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         parsed = parse(definitions)
@@ -150,8 +217,12 @@ def _query(definitions: str, lines: str, statement: str) -> Callable[[SparkSessi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(*s[:3]) for name, s in STATEMENTS.items()}
+    return {
+        **{name: _query(*s[:3]) for name, s in STATEMENTS.items()},
+        **{name: _file_query(*s[:3]) for name, s in FILE_STATEMENTS.items()},
+        **{name: _print_query(*s[:2]) for name, s in PRINT_STATEMENTS.items()},
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s[3] for name, s in STATEMENTS.items()}
+    return {**{name: s[3] for name, s in (STATEMENTS | FILE_STATEMENTS).items()}, **{name: s[2] for name, s in PRINT_STATEMENTS.items()}}
