@@ -2,7 +2,9 @@
 
 Bytes are mapped to Latin-1 characters, one for one, so that an Aho-Corasick automaton over all tokens finds, in one pass, the longest token
 that begins at each byte. Tokens are taken greedily and taken back where the last two could not stand side by side in the result of the
-merges; whether two tokens can is settled by undoing merges at their border, and remembered. No merge is ever carried out on a text.
+merges; whether two tokens can is settled by undoing merges at their border, and remembered. No merge is ever carried out on a text. That a
+sequence of tokens is the merges' result if and only if each two neighbours are is what makes this exact; the approach was published on the
+GitHub engineering blog in December 2024 ("So many tokens, so little time").
 """
 
 from __future__ import annotations

@@ -27,8 +27,12 @@ def _p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", "line_no", "ip", F.floor(F.col("at_s") / 86400).cast("int").alias("day"))
 
 
-def _with_site(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    return rows.join(read_table(spark, sf_dir, "log_files").select("file_id", "site"), "file_id").withColumn("day", F.date_from_unix_date("day").cast("string"))
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "log_files").select("file_id", "site")
+
+
+def _with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    return rows.join(sites, "file_id").withColumn("day", F.date_from_unix_date("day").cast("string"))
 
 
 def _p4_groups(day: F.Column, site: F.Column) -> F.Column:
@@ -43,10 +47,10 @@ def _p4_sketches(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     A sketch doesn't care how often a line was delivered, so that rows are sketched where they are read. Only the number of lines needs each
     line once: file, line number and day are shuffled for it, no address.
     """
-    rows = _p4_rows(spark, sf_dir)
-    daily = kmv_sketches(_with_site(spark, sf_dir, rows), ["day", "site"], "ip", k).select("day", "site", F.lit(0).cast("bigint").alias("n_rows"), "sketch")
+    rows, sites = _p4_rows(spark, sf_dir), _sites(spark, sf_dir)
+    daily = kmv_sketches(_with_site(rows, sites), ["day", "site"], "ip", k).select("day", "site", F.lit(0).cast("bigint").alias("n_rows"), "sketch")
     counts = once_per_line(rows.select("file_id", "line_no", "day")).groupBy("file_id", "day").agg(F.count(F.lit(1)).alias("n_rows"))
-    counted = _with_site(spark, sf_dir, counts).groupBy("day", "site").agg(F.sum("n_rows").alias("n_rows")).select("day", "site", "n_rows", F.array().cast("array<bigint>").alias("sketch"))
+    counted = _with_site(counts, sites).select("day", "site", "n_rows", F.array().cast("array<bigint>").alias("sketch"))
     both = daily.union(counted)
     wide = both.select(_p4_groups(F.col("day"), F.col("site")).alias("g"), F.pmod(F.xxhash64("day", "site"), F.lit(256)).alias("at"), "n_rows", "sketch")
     # A month has at most 31 days; a day at all sites, of which there may be many, is merged in two rounds.
@@ -66,7 +70,7 @@ def _dense_groups(spark: SparkSession, sf_dir: str, k: int = K, sigmas: float =
     if not n_open:
         return sure
     # What the bounds leave open is counted exactly: only the lines of these groups, their distinct addresses first.
-    rows = _with_site(spark, sf_dir, _p4_rows(spark, sf_dir)).select("ip", _p4_groups(F.col("day"), F.col("site")).alias("g")).select("ip", "g.*")
+    rows = _with_site(_p4_rows(spark, sf_dir), _sites(spark, sf_dir)).select("ip", _p4_groups(F.col("day"), F.col("site")).alias("g")).select("ip", "g.*")
     doubtful = doubtful.select("period", "site", "n_rows")
     pairs = rows.join(F.broadcast(doubtful) if n_open <= MAX_BROADCAST_GROUPS else doubtful, ["period", "site"])
     exact = pairs.distinct().groupBy("period", "site", "n_rows").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= F.col("n_rows"))

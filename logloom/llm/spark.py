@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 
 from logloom.operators.tasks import tree_levels
+from logloom.sources.shared import shared_folder
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A small intermediate table, written to the checkpoint folder that the session names in spark.checkpoint.dir.
 
-    A local session that names none, as in tests, gets one of its own, removed at its end; on a cluster its absence is an error.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise RuntimeError("the session must name a shared folder in spark.checkpoint.dir")
-            folder = tempfile.mkdtemp(prefix="checkpoint")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A small intermediate table, written to the session's shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
