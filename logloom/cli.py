@@ -7,7 +7,7 @@ import sys
 
 from logloom.plans.engine import Tables, compile_query
 from logloom.plans.errors import LoomError
-from logloom.sources.lines import ReadLinesIterator
+from logloom.sources.lines import ReadLinesIterator, read_lines
 from logloom.sources.sinks import FORMATS, Printer
 
 
@@ -23,6 +23,7 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--format", choices=FORMATS, default="text")
     a.add_argument("--show-run-stats", action="store_true")
     a.add_argument("--preview", metavar="TABLE", help="show what a table makes of the first lines of the first file")
+    a.add_argument("--edit-table", metavar="FILE", help="try definitions on the first lines of a file, and save them")
     return a
 
 
@@ -80,6 +81,39 @@ def shell(tables: Tables, o: argparse.Namespace) -> None:
             print(e, file=sys.stderr)
 
 
+def edit(tables: Tables, path: str, lines: int = 1000) -> None:
+    """Tries definitions on a file's first lines: each CREATE TABLE, up to its semicolon, shows at once what it makes of them.
+
+    An empty line shows the lines as they are, ``save FILE`` adds the last definition that worked to a file, ``exit`` leaves.
+    """
+    head = tables.spark.createDataFrame([tuple(r) for r in read_lines(tables.spark, path).limit(lines).toLocalIterator()], "value string")
+    waiting = good = ""
+    while True:
+        try:
+            part = input("... " if waiting else "edit> ").strip()
+        except EOFError:
+            return
+        try:
+            if waiting or part[:6].lower() == "create":
+                waiting = f"{waiting}\n{part}".strip()
+                if waiting.endswith(";"):
+                    text, waiting = waiting, ""
+                    tables.add_table(text)
+                    tables.preview(tables.table_names()[-1], head).show(lines, False)
+                    good = text
+            elif part == "exit":
+                return
+            elif part[:5] == "save " and good:
+                with open(part[5:].strip(), "a", encoding="utf-8") as f:
+                    f.write(good + "\n")
+            elif not part:
+                head.show(lines, False)
+            else:
+                print("expected CREATE TABLE, save FILE or exit", file=sys.stderr)
+        except (LoomError, OSError) as e:
+            print(e, file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     o = arguments().parse_args(argv)
     tables = Tables()
@@ -91,7 +125,9 @@ def main(argv: list[str] | None = None) -> int:
         if o.command_file:
             with open(o.command_file, encoding="utf-8") as f:
                 query = f.read()
-        if o.preview:
+        if o.edit_table:
+            edit(tables, o.edit_table)
+        elif o.preview:
             tables.preview(o.preview, o.files[0]).show(1000, False)
         elif query:
             run(tables, query, o)

@@ -74,6 +74,7 @@ class Tables:
             raise BindError("expected CREATE TABLE")
         for t in (parsed,) if isinstance(parsed, tree.TableDef) else parsed:
             Extractor(t)
+            self._tables.pop(t.name, None)
             self._tables[t.name] = t
 
     def tables(self) -> list[Table]:
@@ -92,9 +93,9 @@ class Tables:
         rows = [(c.name, str(c.type), not c.not_null, None if c.default is None else str(c.default)) for c in self._tables[name].columns]
         return self.spark.createDataFrame(rows, "Column string, Type string, Nullable boolean, Default string")
 
-    def preview(self, name: str, path: str, n: int = 1000) -> DataFrame:
-        """What the definition makes of the first ``n`` lines of a file, beside the lines."""
-        lines = read_lines(self.spark, path).limit(n)
+    def preview(self, name: str, source: str | DataFrame, n: int = 1000) -> DataFrame:
+        """What the definition makes of the first ``n`` lines of a file (or of lines already read), beside the lines."""
+        lines = (read_lines(self.spark, source) if isinstance(source, str) else source).limit(n)
         return Extractor(self._tables[name]).rows(lines).withColumnRenamed("_line", "input")
 
     # Batch

@@ -21,6 +21,7 @@ from logloom.plans.types import INT, INTERVAL, NULL, REAL, TEXT, TIMESTAMP, arra
 from logloom.sources.lines import FollowFileIterator, ReadLinesIterator, python_lines
 from logloom.sources.patterns import compile_pattern
 from logloom.sources.sinks import Printer
+from logloom.sources.tail import TailReader
 from logloom.streaming.follow import follow_query
 
 FTP = r"""CREATE TABLE connections(
@@ -401,6 +402,16 @@ def test_command_line(tmp_path, spark, capsys, monkeypatch):
     assert "connections" in shown.out and "hostname" in shown.out and "n: 5" in shown.out and "expected SELECT" in shown.err
 
 
+def test_table_editor(tmp_path, spark, capsys, monkeypatch):
+    (tmp_path / "x.log").write_text("a;1\nb;2\n")
+    answers = iter(["", "CREATE TABLE t(p = split ';',", "p[1] => k TEXT, p[2] => n INT);", "CREATE TABLE u(p = '(', p[1] => k TEXT);", "what", f"save {tmp_path}/d.txt", "exit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(answers))
+    assert cli.main(["--edit-table", str(tmp_path / "x.log")]) == 0
+    shown = capsys.readouterr()
+    assert "a;1" in shown.out and re.search(r"\|a;1 *\|a *\|1 *\|", shown.out) and "expected CREATE TABLE" in shown.err
+    assert (tmp_path / "d.txt").read_text() == "CREATE TABLE t(p = split ';',\np[1] => k TEXT, p[2] => n INT);\n"
+
+
 # Following
 
 
@@ -411,6 +422,26 @@ def wait_for(what, seconds=60):
     assert what()
 
 
+def test_a_file_that_begins_anew_is_read_anew(tmp_path):
+    path = tmp_path / "t.log"
+    path.write_text("one\ntwo\nthr")
+    reader = TailReader(str(path), True)
+    rows, offset = reader.read(reader.initialOffset())
+    assert [r[0] for r in rows] == ["one", "two"] and offset["at"] == 8
+    path.write_text("one\ntwo\nthree\n")
+    rows, later = reader.read(offset)
+    assert [r[0] for r in rows] == ["three"] and [r[0] for r in reader.readBetweenOffsets(offset, later)] == ["three"]
+    path.write_text("another file, and longer\nthan before\n")
+    rows, anew = reader.read(later)
+    assert [r[0] for r in rows] == ["another file, and longer", "than before"] == [r[0] for r in reader.readBetweenOffsets(later, anew)]
+    path.write_text("x\n")
+    rows, short = reader.read(anew)
+    assert [r[0] for r in rows] == ["x"] == [r[0] for r in reader.readBetweenOffsets(anew, short)]
+    assert list(reader.read(short)[0]) == []
+    tail = TailReader(str(path), False)
+    assert list(tail.read(tail.initialOffset())[0]) == [] and list(TailReader(str(tmp_path / "no"), True).read({"at": 0, "seen": 0})[0]) == []
+
+
 def test_follow_rows_and_limit(tables, tmp_path):
     path, got = tmp_path / "f.log", []
     path.write_text(FTP_LINES[0] + "\n" + FTP_LINES[2][:9])
