@@ -463,7 +463,7 @@ def _year(df: DataFrame, opened_at: str) -> Column:
 
 
 def log_entries(
-    df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS, block_lines: int = 8192
+    df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS, block_lines: int = 65536
 ) -> DataFrame:
     """One row for each entry: (file_id, line_no, n_lines, entry_time, level, component, message).
 

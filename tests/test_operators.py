@@ -13,6 +13,7 @@ from logloom.operators.logentries import Chars, HeaderMachine, grammar, log_entr
 from logloom.operators.sessions import sessionize
 from logloom.operators.tasks import task_count, tree_levels
 from logloom.operators.treeagg import tree_count
+from logloom.queries import queries as general_queries
 
 
 def rows(df):
@@ -130,6 +131,29 @@ def test_tree_count_matches_brute_force(spark, fan_in):
     assert rows(tree_count(df.limit(0), "k", "v", fan_in=fan_in)) == []
 
 
+# Sessions, entries, counts and bad rows as queries
+
+
+def test_queries_dont_depend_on_the_zone(spark, tmp_path):
+    d, rng, lines = str(tmp_path), random.Random(8), []
+    for n in range(600):
+        row = (rng.randint(1, 4), n, rng.choice(["May  9 23:38:41 h p[1]: a", "more", "1115052084.511 crit/m: b", "1.2.3.4;h;2005;Jan;1;0;0;0", "1.2.3.4;h;2005;Feb;30;0;0;0"]), rng.choice(["hot", "", None, f"10.0.0.{n}"]), rng.choice(["Host.A", None]), 2005, rng.choice(["Jan", "may", "Nope"]), rng.choice([1, 31]), rng.choice([0, 23]), 59, rng.choice([0, 59]))
+        lines += [row] * rng.choice([1, 1, 3])
+    spark.createDataFrame(lines, "file_id bigint, line_no bigint, line string, ip string, hostname string, year bigint, month string, day bigint, hour bigint, minute bigint, second bigint").write.parquet(f"{d}/connections.parquet")
+    for kind in ("timestamp_ntz", "timestamp"):
+        files = spark.createDataFrame([(i, ["log", "split"][i % 2], datetime(2005, 1, 1)) for i in range(1, 5)], "file_id bigint, kind string, opened_at timestamp_ntz")
+        files.withColumn("opened_at", F.col("opened_at").cast(kind)).write.mode("overwrite").parquet(f"{d}/log_files.parquet")
+        zone, results = spark.conf.get("spark.sql.session.timeZone"), []
+        try:
+            for z in ("UTC", "America/Los_Angeles", "Pacific/Kiritimati"):
+                spark.conf.set("spark.sql.session.timeZone", z)
+                results.append({name: rows(q(spark, d)) for name, q in general_queries().items()})
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert results[0] == results[1] == results[2] and all(results[0].values())
+        assert {r[3][:4] for r in results[0]["p2_found"]} == {"2005"}
+
+
 # Bad rows
 
 LINES = {
