@@ -2,24 +2,27 @@
 
 Columns of lines are read as they were written; numeric tables are first rendered as lines, so that every statement takes the whole way from
 the definition of a table over its extraction to the result. Statements named ``file_`` read text files, which are first written to the session's
-shared folder; those named ``print_`` go through the command line and give the lines it prints.
+shared folder; those named ``print_`` go through the command line and give the lines it prints; those named ``follow_`` follow a file that holds
+the lines already, through a stream, and give what was handed over last; those named ``embed_`` go through the embedding interface.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from logloom import cli
 from logloom.operators.lines import read_table, without_cr
 from logloom.plans import tree
-from logloom.plans.engine import Tables
+from logloom.plans.engine import Tables, compile_query
 from logloom.plans.grammar import parse
-from logloom.plans.planner import needs_order, plan
+from logloom.plans.planner import is_aggregate, needs_order, plan
 from logloom.sources.lines import ReadLinesIterator
-from logloom.sources.shared import lines_file
+from logloom.sources.shared import lines_file, spool
+from logloom.streaming.follow import follow_query
 
 CONNECTIONS = """CREATE TABLE connections(
     line = 'connection from ([0-9.]+) \\\\((.+)?\\\\) at ([a-zA-Z]+) ([a-zA-Z]+) ([0-9]+) ([0-9]+):([0-9]+):([0-9]+) ([0-9]+)',
@@ -177,6 +180,71 @@ PRINT_STATEMENTS: dict[str, tuple[str, str, str]] = {
 }
 
 
+#: name -> (statement over ssh, SQL)
+FOLLOW_STATEMENTS: dict[str, tuple[str, str]] = {
+    "follow_rows": ("SELECT hostname, username FROM ssh WHERE length(username) > 4", "SELECT hostname, username FROM ssh WHERE length(username) > 4 AND hostname IS NOT NULL"),
+    "follow_groups": ("SELECT hostname, COUNT(*) AS n, COUNT(DISTINCT username) AS users, MAX(username) AS last, PERCENTILE(username, 0.5) AS mid, STRING_AGG(username, ' ') AS list FROM ssh GROUP BY hostname HAVING COUNT(*) > 1",
+        "SELECT hostname, count(*) n, count(DISTINCT username) users, max(username) \"last\", list_sort(list(username))[floor(0.5 * count(*))::BIGINT + 1] mid, string_agg(username, ' ' ORDER BY ssh_id) \"list\" FROM ssh WHERE hostname IS NOT NULL GROUP BY hostname HAVING count(*) > 1"),
+    "follow_distinct": ("SELECT DISTINCT username FROM ssh", "SELECT DISTINCT username FROM ssh WHERE hostname IS NOT NULL"),
+    "follow_distinct_groups": ("SELECT DISTINCT COUNT(*) AS n FROM ssh GROUP BY username", "SELECT DISTINCT n FROM (SELECT count(*) n FROM ssh WHERE hostname IS NOT NULL GROUP BY username)"),
+    "follow_limit": ("SELECT 'x' AS c FROM ssh LIMIT 7", "SELECT 'x' c FROM ssh WHERE hostname IS NOT NULL LIMIT 7"),
+}
+EMBED_SQL = {
+    "embed_iterator": "SELECT username, count(*) n FROM ssh WHERE hostname IS NOT NULL GROUP BY username",
+    "embed_callback": "SELECT hostname, username FROM ssh WHERE hostname IS NOT NULL",
+    "embed_describe": "SELECT * FROM (VALUES ('orderkey', 'int', false, NULL::VARCHAR), ('custkey', 'int', true, NULL), ('status', 'text', true, NULL)) t(\"Column\", \"Type\", \"Nullable\", \"Default\")",
+    "embed_statistics": "SELECT count(*)::BIGINT n, count(hostname)::BIGINT n_rows FROM ssh WHERE line IS NOT NULL",
+}
+
+
+def _ssh_lines(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    return (r["value"] for r in _LINES["ssh"](spark, sf_dir).orderBy("_order").select("value").where("value IS NOT NULL").toLocalIterator())
+
+
+def _ssh(spark: SparkSession) -> Tables:
+    tables = Tables(spark)
+    tables.add_table(SSH)
+    return tables
+
+
+def _follow_query(statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        query, handed = compile_query(statement), []
+        path = spool(spark, _ssh_lines(spark, sf_dir))
+        stream = follow_query(_ssh(spark), query, path, lambda names, types, rows: handed.append(rows), head=True)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+        rows = [r for part in (handed[-1:] if is_aggregate(query) else handed) for r in part]
+        result = _ssh(spark).plan([], query)
+        return spark.createDataFrame([tuple(r) for r in rows], StructType([StructField(n, t.spark) for n, t in zip(result.names, result.types)]))
+
+    return run
+
+
+def embed_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ssh(spark).sql("SELECT username, COUNT(*) AS n FROM ssh GROUP BY username", _ssh_lines(spark, sf_dir))
+
+
+def embed_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    handed: list[dict] = []
+    _ssh(spark).execute_query_callback(ReadLinesIterator(lines_file(_LINES["ssh"](spark, sf_dir))), "SELECT hostname, username FROM ssh", handed.extend)
+    return spark.createDataFrame([(r["hostname"], r["username"]) for r in handed], "hostname string, username string")
+
+
+def embed_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark)
+    tables.add_table(ORDERS)
+    return tables.describe("orders")
+
+
+def embed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows, statistics = _ssh(spark).run_with_statistics([lines_file(_LINES["ssh"](spark, sf_dir))], "SELECT hostname FROM ssh")
+    n_rows = sum(1 for _ in rows)
+    return spark.createDataFrame([(statistics.lines, n_rows)], "n bigint, n_rows bigint")
+
+
 def _text_files(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> list[str]:
     return [lines_file(_LINES[n](spark, sf_dir), "_order") for n in names]
 
@@ -221,8 +289,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **{name: _query(*s[:3]) for name, s in STATEMENTS.items()},
         **{name: _file_query(*s[:3]) for name, s in FILE_STATEMENTS.items()},
         **{name: _print_query(*s[:2]) for name, s in PRINT_STATEMENTS.items()},
+        **{name: _follow_query(s[0]) for name, s in FOLLOW_STATEMENTS.items()},
+        **{f.__name__: f for f in (embed_iterator, embed_callback, embed_describe, embed_statistics)},
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{name: s[3] for name, s in (STATEMENTS | FILE_STATEMENTS).items()}, **{name: s[2] for name, s in PRINT_STATEMENTS.items()}}
+    return {**{name: s[3] for name, s in (STATEMENTS | FILE_STATEMENTS).items()}, **{name: s[2] for name, s in PRINT_STATEMENTS.items()}, **{name: s[1] for name, s in FOLLOW_STATEMENTS.items()}, **EMBED_SQL}
