@@ -96,7 +96,8 @@ TABLES: dict[str, list[tuple[str, str, bool]]] = {
     "en": [
         (_abbreviations(*_ENDING), _BEGINS, True),
         (_abbreviations(*_ENDING), _SPACE, False),
-        (_titles("mr", "mrs", "ms", "mt", "ft", "gen", "col", "capt", "lt", "sgt", "rev", "hon", "sen", "gov"), _NAME, False),
+        (_titles("mr", "mrs", "ms", "mt", "ft", "gen", "col", "capt", "lt", "sgt", "rev", "hon", "sen", "rep", "gov", "pres"), _NAME, False),
+        (_abbreviations("jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "apt", "bldg", "rm", "ext"), _NUMBER, False),
         (_abbreviations("mr", "mrs", "ms", "dr", "prof", "dept", "est", "max", "min", "ver", "fig", "sec"), _LOWER, False),
         (_abbreviations("fig", "figs", "eq", "tab", "app"), r"\s+\p{Lu}(?!\p{L})", False),
     ],
@@ -141,7 +142,10 @@ TABLES: dict[str, list[tuple[str, str, bool]]] = {
         (_abbreviations("cf", "e.g", "eg", "i.e", "ie", "viz", "vs", "approx", "resp", "a.k.a"), _SPACE, False),
         (_titles("dr", "drs", "prof"), _NAME, False),
         (_abbreviations("no", "nos", "nr", "p", "pp", "sec", "secs", "fig", "figs", "eq", "ch", "vol", "ver", "v", "max", "min", "art", "ed", "para", "ref", "tab", "abb", "abs", "bd", "kap", "chap", "cap", "pag", "pagg", "pág", "págs", "núm", "n", "tel"), _NUMBER, False),
+        (_abbreviations("no", "nos", "sec", "fig", "figs", "ch", "chap", "vol", "art", "tab", "bd", "kap", "cap"), r"\s+(?!I\b)[IVXLCDM]+(?!\p{L})", False),
+        (_abbreviations("ca", "et al"), r"\s+[(\[]?\p{N}", False),
         (_abbreviations("etc", "et al"), _LOWER, False),
+        (r"(?<![\p{L}\p{N}])(?:\p{Lu}\.){2,}", _BEGINS, True),
         # Initials, unless a sentence begins after a single letter.
         (r"(?<![\p{L}\p{N}.])[\p{Latin}\p{Cyrillic}]\.", _BEGINS, True),
         (r"(?<![\p{L}\p{N}])[\p{Latin}\p{Cyrillic}]\.", "", False),
@@ -209,6 +213,8 @@ _ITEM = regex.compile(r" {0,3}(?:([-*+•])|(\d{1,9})[.)])(?:[ \t\xa0]+|\Z)")
 _ENDED = regex.compile(rf"[{regex.escape(SPACED + CLOSE)}][{regex.escape(CLOSERS)}]*[\s]*\Z", regex.V1)
 _PARENTHESES = "(（"
 _WORD_THERE = regex.compile(r"[\s]*(\p{L}+)", regex.V1)
+# Who speaks, after a quotation: a name or "I", and a verb of saying.
+_SPEAKER = regex.compile(r"\s+(?:I|\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+)?)\s+(?:said|says|asked|asks|replied|answered|cried|shouted|whispered|thought)\b")
 _BLANKS = re.compile(f"[{_WHITE}]*")
 _LOWER_WORD = regex.compile(r"(?<!\p{L})\p{Ll}\p{L}{3}")
 
@@ -277,7 +283,7 @@ def _goes_on(text: str, start: int, opening: int, at: int, stop: int) -> bool:
     word = _WORD_THERE.match(text, at, stop)
     if word is None:
         return False
-    if word[1][0].islower():
+    if word[1][0].islower() or _SPEAKER.match(text, at, stop):
         return True
     if _LOWER_WORD.search(text, start, at):
         return False

@@ -14,6 +14,11 @@ GOLD = {
         "Yahoo! was founded in 1994. |I still use Yahoo! for mail. |What a time!",
         "Figures, tables, etc. are in the appendix. |See Fig. 4 and eq. 7. |J. R. R. Tolkien wrote it.",
         "I got an A. |She got a B. |He lives on Main St. |The shop is there.",
+        "See Sec. IV and Vol. 3 for details. |On Sept. 9, apt. 12 was empty. |Smith et al. (2005) and Jones et al. 1999 disagree.",
+        "They moved to Washington, D.C. |The house was small. |He has a Ph.D. |She doesn't.",
+        "“What is it?” I asked. |“Nothing!” Tom Smith said. |“Go away!” |Nobody moved.",
+        "Mr. and Mrs. Brown live in St. Louis. |Gov. Green, ca. 1900, was born in Mt. Vernon. |No. |I don't know.",
+        "He works at Acme Inc. |The firm is big. |It costs $5. |He paid with vers. 2.0. |Then he left!!! |What?",
     ],
     "de": [
         "Das ist z. B. bei Hrn. Meier so. |Er kam am 3. Mai um 9 Uhr. |Danach ging er.",
