@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from uuid import uuid4
 
@@ -140,8 +140,22 @@ class ItemIndex:
         get = self.number.get
         return [get(w, 0) for w in words_of(text)]
 
-    def search(self, docs: list[list[int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(document, item, words of the item, tiles, longest tile, words covered) of each pair that shares a seed."""
+    def search(self, docs: Iterable[list[int]], chunk_words: int = 500_000) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(document, item, words of the item, tiles, longest tile, words covered) of each pair that shares a seed.
+
+        Documents are hashed together, as many as hold ``chunk_words`` words (a longer one by itself).
+        """
+        chunk: list[list[int]] = []
+        first = n_words = 0
+        for words in docs:
+            if chunk and n_words + len(words) > chunk_words:
+                yield from self._search(chunk, first)
+                chunk, first, n_words = [], first + len(chunk), 0
+            chunk.append(words)
+            n_words += len(words)
+        yield from self._search(chunk, first)
+
+    def _search(self, docs: list[list[int]], first: int) -> Iterator[tuple[int, int, int, int, int, int]]:
         whole = np.array([x for d in docs for x in (*d, 0)], dtype=np.uint64)
         begins = np.cumsum([0, *(len(d) + 1 for d in docs)])
         unknown = np.concatenate(([0], np.cumsum(whole == 0)))
@@ -159,7 +173,7 @@ class ItemIndex:
                 numbers = self.items[item][1]
                 tiles = greedy_tiles(numbers, docs[d], n)
                 if tiles:
-                    yield d, item, len(numbers), len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles)
+                    yield first + d, item, len(numbers), len(tiles), max(t[2] for t in tiles), sum(t[2] for t in tiles)
 
 
 _INDEXES: dict[str, ItemIndex] = {}
@@ -196,7 +210,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str,
             index = _INDEXES[name]
             for b in batches:
                 keys = b.column(0).to_pylist()
-                found = list(index.search([index.numbers(t) for t in b.column(1).to_pylist()]))
+                found = list(index.search(map(index.numbers, b.column(1).to_pylist())))
                 rows = [pa.array([index.items[f[1]][0] for f in found], pa.string()), pa.array([keys[f[0]] for f in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([*rows, *(pa.array([f[c] for f in found], pa.int64()) for c in range(2, 6))], names=["item", "doc", "n_words", "n_tiles", "longest", "covered"])
 

@@ -263,6 +263,7 @@ def test_repetition_costs_no_more():
     index = ItemIndex([("a", "so " * 20_000), ("b", "so and " * 10_000)], 13)
     docs = [index.numbers("so " * 20_000), index.numbers("so so and " * 7_000), index.numbers(("so " * 20 + "x ") * 900)]
     found = list(index.search(docs))
+    assert found == list(index.search(iter(docs), 10)) and list(index.search([])) == []
     assert (0, 0, 20_000, 1, 20_000, 20_000) in found and {f[:2] for f in found} == {(0, 0), (2, 0)}
     assert time.time() - began < 5
 
