@@ -84,9 +84,8 @@ def plan(s: tree.Select, tables: dict[str, tree.TableDef], lines: DataFrame, joi
         raise BindError("HAVING needs GROUP BY or an aggregate")
     values = [(n, bind(e, scope)) for n, e in projections]
     if s.distinct and not streaming and ORDER in base.columns:
-        # Each row once, in the order of its first line.
-        out = base.select(*[_output(v).alias(f"_p{i}") for i, (_, v) in enumerate(values)], ORDER).groupBy(*[f"_p{i}" for i in range(len(values))]).agg(F.min(ORDER).alias("_first"))
-        out = out.orderBy("_first").select(*[F.col(f"_p{i}").alias(n) for i, (n, _) in enumerate(values)])
+        out = _first_seen(base.select(*[_output(v).alias(f"_p{i}") for i, (_, v) in enumerate(values)], ORDER), len(values))
+        out = out.select(*[F.col(f"_p{i}").alias(n) for i, (n, _) in enumerate(values)])
     else:
         out = base.select(*[_output(v).alias(n) for n, v in values])
         if s.distinct:
@@ -96,6 +95,23 @@ def plan(s: tree.Select, tables: dict[str, tree.TableDef], lines: DataFrame, joi
     return Plan(out, [v.type for _, v in values], False, s.limit)
 
 
+def _first_seen(rows: DataFrame, width: int) -> DataFrame:
+    """Each of the rows (_p0, ...) once, in the order of its first line.
+
+    The first line is found within each block of a file before blocks are compared: a number can be kept in a hash table, the whole order of
+    lines can't, and would have all rows sorted.
+    """
+    names = [f"_p{i}" for i in range(width)]
+    *outer, last = rows.schema[ORDER].dataType.fields
+    if last.dataType.typeName() != "long":
+        return rows.groupBy(*names).agg(F.min(ORDER).alias("_first")).orderBy("_first")
+    block = [f"_o{j}" for j in range(len(outer))]
+    found = rows.select(*names, *[F.col(ORDER)[f.name].alias(o) for f, o in zip(outer, block)], F.col(ORDER)[last.name].alias("_line_no")).groupBy(*names, *block).agg(F.min("_line_no").alias("_first"))
+    if block:
+        found = found.groupBy(*names).agg(F.min(F.struct(*block, "_first")).alias("_first"))
+    return found.orderBy("_first")
+
+
 def _output(v: Typed):
     return v.column.cast("string") if v.type.name == "null" else v.column
 

@@ -22,8 +22,6 @@ from logloom.sources.patterns import FLAGS, Pattern, compile_pattern
 #: Beside the columns, a row keeps its line under this name.
 INPUT = "input"
 _SEPARATOR = "\x01"
-#: From so many groups of a pattern on, one match serves all.
-PACK_FROM = 2
 
 
 class Extractor:
@@ -113,16 +111,15 @@ class Extractor:
                 matches[p.name] = line.isNotNull()
                 continue
             groups = sorted(g for g in used[p.name] if 0 < g <= len(compiled.groups))
-            if len(groups) >= PACK_FROM:
-                # As many parts as groups come out if the pattern matches, else the line alone.
-                single = F.array(*[F.regexp_extract(line, java, g) for g in groups])
-                packed = F.split(F.regexp_replace(line, rf"\A(?s:.*?)(?:{java})(?s:.*)\z", _SEPARATOR.join(f"${g}" for g in groups)), _SEPARATOR, -1)
+            if groups:
+                # One more part than groups comes out if the pattern matches, else the line alone.
+                single = F.array(*[F.regexp_extract(line, java, g) for g in groups], F.lit(""))
+                packed = F.split(F.regexp_replace(line, rf"\A(?s:.*?)(?:{java})(?s:.*)\z", "".join(f"${g}{_SEPARATOR}" for g in groups)), _SEPARATOR, -1)
                 d = worked_out_once(d, found, F.when(F.contains(line, F.lit(_SEPARATOR)), F.when(line.rlike(java), single)).otherwise(packed))
-                matched = F.coalesce(F.size(found) == len(groups), F.lit(False))
+                matched = F.coalesce(F.size(found) == len(groups) + 1, F.lit(False))
                 texts = {g: F.when(matched, F.get(F.col(found), F.lit(i))) for i, g in enumerate(groups)}
             else:
-                matched = line.rlike(java)
-                texts = {g: F.when(matched, F.regexp_extract(line, java, g)) for g in groups}
+                matched, texts = line.rlike(java), {}
             if 0 in used[p.name]:
                 texts[0] = F.when(matched, F.regexp_extract(line, java, 0))
             matches[p.name] = matched
