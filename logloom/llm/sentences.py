@@ -6,7 +6,7 @@ passed over whole. At each other mark a cascade of rule tables decides: every ru
 stands after it, and a verdict, and the first rule that matches counts; the last table breaks.
 
 The cascade begins and ends with tables for all languages. Between them stand those of the languages of the block: by its script, or by the
-function words in it, several where it mixes languages; a block without any takes those of the whole text. Labels of texts aren't asked, as
+function words in it, several where it mixes languages; a block with fewer than three takes those of the whole text, too. Labels of texts aren't asked, as
 they are often wrong. Whether an abbreviation that may end a sentence does so is told by what follows: a capitalised function word of the same
 languages begins a sentence, a word in lower case or a name goes on.
 """
@@ -51,7 +51,7 @@ def _rule(before: str, after: str, breaks: bool) -> Rule:
 #: Function words by language: they tell the languages of a text, and, capitalised, that a sentence begins.
 FUNCTION_WORDS = {
     "en": "the a an and or but if of to in on at for with from by is are was were has have do does not no this that these those it he she they we you i my your our there here then so what why how when who which however every nobody another",
-    "de": "der die das ein eine einen und oder aber nicht ist sind war im am mit von zu für auf bei nach wie was warum wo ich er sie es wir man dann den dem",
+    "de": "der die das ein eine einen und oder aber nicht ist sind war im am mit von zu für auf bei nach wie was warum wo ich er sie es wir man dann den dem in sich an so unter noch auch",
     "fr": "le la les un une des du et ou mais ne pas est sont il elle on nous vous je que qui pour avec sur dans au ce cette pourquoi comment puis l j qu",
     "es": "el la los las un una y o pero no es son en de del con por para que qué cómo al se lo su este esta luego muy hay tiene ya",
     "it": "il lo la gli un una e o ma non è sono di del della con per che si questo come perché poi",
@@ -177,8 +177,9 @@ def cascade(languages: frozenset[str]) -> list[Rule]:
     return [_rule(b, begins if a == _BEGINS else a, v) for t in (*sorted(languages), "last", "default") for b, a, v in TABLES[t]]
 
 
-def languages_of(text: str, begin: int, stop: int) -> frozenset[str]:
-    """The languages, among those with tables, that text[begin:stop] is in, by its scripts and function words; none if nothing tells."""
+def languages_of(text: str, begin: int, stop: int) -> tuple[frozenset[str], int]:
+    """The languages, among those with tables, that text[begin:stop] is in, by its scripts and function words, none if nothing tells; and how
+    many function words speak for the first."""
     found = {lang for lang, letters in _SCRIPTS.items() if letters.search(text, begin, stop)}
     score, alone = Counter(), Counter()
     for w, n in Counter(filter(_LANGUAGES_OF.__contains__, _LETTERS.findall(text[begin:stop].lower()))).items():
@@ -187,10 +188,10 @@ def languages_of(text: str, begin: int, stop: int) -> frozenset[str]:
             score[lang] += n
         if len(of) == 1:
             alone[of[0]] += n
-    if score:
-        most = max(score.values())
+    most = max(score.values(), default=0)
+    if most:
         found |= {lang for lang, n in score.items() if n == most or alone[lang] >= 2}
-    return frozenset(found)
+    return frozenset(found), most
 
 
 _SPANS = regex.compile(
@@ -215,14 +216,18 @@ _PARENTHESES = "(（"
 _WORD_THERE = regex.compile(r"[\s]*(\p{L}+)", regex.V1)
 # Who speaks, after a quotation: a name or "I", and a verb of saying.
 _SPEAKER = regex.compile(r"\s+(?:I|\p{Lu}\p{L}+(?:\s+\p{Lu}\p{L}+)?)\s+(?:said|says|asked|asks|replied|answered|cried|shouted|whispered|thought)\b")
+_NAME_THERE = regex.compile(r"(?<!\p{L})\p{Lu}[\p{L}\p{N}]*!", regex.V1 | regex.REVERSE)
+_NAME_INSIDE = regex.compile(r"\p{Ll}[ \t\xa0]+(\p{Lu}[\p{L}\p{N}]*!)[ \t\xa0]+\p{Ll}")
+_LOWER_NEXT = regex.compile(r"[ \t\xa0]+\p{Ll}")
 _BLANKS = re.compile(f"[{_WHITE}]*")
 _LOWER_WORD = regex.compile(r"(?<!\p{L})\p{Ll}\p{L}{3}")
 
 
 @lru_cache(maxsize=8)
 def _languages_in(text: str, begin: int, stop: int) -> frozenset[str]:
-    """The languages of a block or, if nothing in it tells, of its whole text."""
-    return languages_of(text, begin, stop) or languages_of(text, 0, len(text))
+    """The languages of a block and, if few of its words tell, of its whole text."""
+    found, words = languages_of(text, begin, stop)
+    return found if words >= 3 else found | languages_of(text, 0, len(text))[0]
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, int, bool]]:
@@ -306,11 +311,19 @@ def _after_mark(text: str, start: int, at: int, stop: int) -> int:
         return end
 
 
+@lru_cache(maxsize=8)
+def _names(text: str) -> frozenset[str]:
+    """Names that end with a mark, known as such by a place inside a sentence: ``mail from Yahoo! for``."""
+    return frozenset(_NAME_INSIDE.findall(text))
+
+
 def _decide(text: str, body: int, mark: int, mark_end: int, end: int, stop: int, languages: Callable[[], frozenset[str]]) -> bool:
     last = text[mark_end - 1]
     for r in _FIRST[last if mark_end - mark == 1 else last * 2]:
         if r.before.match(text, body, mark_end) and r.after.match(text, end, stop):
             return r.breaks
+    if last == "!" and (name := _NAME_THERE.match(text, body, mark_end)) and _LOWER_NEXT.match(text, end, stop) and name[0] in _names(text):
+        return False
     if last != "." or not _GATE.match(text, body, mark_end):  # all rules of the other tables stand behind a full stop
         return True
     return next(r.breaks for r in cascade(languages()) if r.before.match(text, body, mark_end) and r.after.match(text, end, stop))

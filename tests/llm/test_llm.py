@@ -362,13 +362,18 @@ def test_the_number_of_blanks_doesnt_matter():
 
 
 def test_languages_of_texts():
-    tell = lambda t: set(languages_of(t, 0, len(t)))
+    tell = lambda t: set(languages_of(t, 0, len(t))[0])
     assert tell("The router is not in the house") == {"en"} and tell("Der Index ist nicht auf dem Server") == {"de"}
     assert tell("La table ne répond pas sous forte charge") == {"fr"} and tell("El cable está en la mesa, pero no responde") == {"es"}
     assert tell("डॉ. शर्मा") == {"hi"} and tell("12 kg") == tell("") == set()
     assert tell("Der Index ist nicht da, it says, but we do not see that") >= {"de", "en"}
 
 
+def test_short_blocks_follow_their_text():
+    text = "Der Dienst ist nicht auf dem Server und wir warten.\n\nMELDET FEHLER, CA. 2,7"
+    assert [text[a:b] for a, b in units(text)] == text.split("\n\n")
+
+
 def test_units_without_content_and_long():
     assert units(None) == units("") == units(" \n\t　 ") == []
     for text in ("x" * 200_000, "a. " * 20_000, "(" * 20_000, "“" * 5_000, "'a " * 20_000, "\n" * 50_000, "- " * 20_000, "!" * 50_000, "`" * 3_000):
