@@ -4,8 +4,8 @@ A deterministic state machine runs over the characters of a line; it is built fr
 and notes where fields begin and end. Lines of named fields (JSON objects, ``key=value``) go on in a second machine that tokenises names, quotes
 and brackets. The grammar that accepts assigns the fields. At the end of a line the machine of a file is in a lookahead state: the class of
 the next line, whether the first machine accepts its beginning, decides whether the entry is at its end or the line is attached to it. The
-lookahead runs over blocks of a file; only what reaches over the edges of blocks (at most two rows each) is put in order over the whole file,
-so that no task needs to hold a file.
+lookahead runs over blocks of a file; what reaches over the edges of blocks (at most two rows each) is put in order over many blocks, and what
+reaches over the edges of these (again two rows) over the whole file, so that no task needs to hold a file or all its blocks' edges.
 """
 
 from __future__ import annotations
@@ -463,7 +463,7 @@ def _year(df: DataFrame, opened_at: str) -> Column:
 
 
 def log_entries(
-    df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS, block_lines: int = 65536
+    df: DataFrame, file_id: str = "file_id", line_no: str = "line_no", line: str = "line", opened_at: str = "opened_at", grammars: Mapping[str, Sequence[Sequence[Element]]] = GRAMMARS, block_lines: int = 65536, blocks_together: int = 1024
 ) -> DataFrame:
     """One row for each entry: (file_id, line_no, n_lines, entry_time, level, component, message).
 
@@ -478,17 +478,24 @@ def log_entries(
     time = F.when(F.col("entry_time").startswith("-"), F.concat("year", "entry_time")).otherwise(F.col("entry_time"))
     lines = parsed.select("file_id", F.floor(F.col("line_no") / block_lines).alias("block"), "line_no", "head", time.alias("entry_time"), "level", "component", "text")
     parts = lines.repartition("file_id", "block").sortWithinPartitions("file_id", "block", "line_no").mapInArrow(_attach, _PARTS)
-    # What reaches over an edge of blocks meets in one group of the file, in order; all other parts are whole entries and stay where they are.
-    # Both branches read the same shuffled lines.
-    fields = ("entry_time", "level", "component")
-    whole = parts.where(~F.col("edge")).select("file_id", F.col("start").alias("line_no"), "n_lines", *fields, F.col("text").alias("message"))
-    over_file = Window.partitionBy("file_id").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    joined = (
-        parts.where("edge")
-        .withColumn("entry", F.last("start", ignorenulls=True).over(over_file))
-        .where(F.col("entry").isNotNull())
-        .groupBy("file_id", "entry")
-        .agg(F.sum("n_lines").alias("n_lines"), *[F.max(c).alias(c) for c in fields], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
-        .select("file_id", F.col("entry").alias("line_no"), "n_lines", *fields, F.concat_ws("\n", F.transform("texts", lambda t: t["text"])).alias("message"))
+    # What reaches over an edge of blocks meets its neighbours, first among many blocks, then, what reaches over the edges of these, in the whole
+    # file; all other parts are whole entries and stay where they are. The branches read the same shuffled rows.
+    whole = parts.where(~F.col("edge"))
+    near = _joined(parts.where("edge").withColumn("_g", F.floor(F.col("block") / blocks_together)), "file_id", "_g")
+    last = F.max("start").over(Window.partitionBy("file_id", "_g"))
+    near = near.withColumn("edge", F.col("start").isNull() | (F.col("start") == last))
+    far = _joined(near.where("edge"), "file_id").where(F.col("start").isNotNull())
+    columns = [F.col("start").alias("line_no"), "n_lines", "entry_time", "level", "component", F.col("text").alias("message")]
+    return whole.select("file_id", *columns).union(near.where(~F.col("edge")).select("file_id", *columns)).union(far.select("file_id", *columns))
+
+
+def _joined(parts: DataFrame, *keys: str) -> DataFrame:
+    """Parts of entries of each key, in order, united with the part before them that has a header; those before the first header with each other."""
+    up_to = Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        parts.withColumn("start", F.last("start", ignorenulls=True).over(up_to))
+        .groupBy(*keys, "start")
+        .agg(F.min("first").alias("first"), F.sum("n_lines").alias("n_lines"), *[F.max(c).alias(c) for c in ("entry_time", "level", "component")], F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
+        .withColumn("text", F.concat_ws("\n", F.transform("texts", lambda t: t["text"])))
+        .drop("texts")
     )
-    return whole.union(joined)

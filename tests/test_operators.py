@@ -324,13 +324,13 @@ def test_attached_lines_match_brute_force_over_batches(spark):
     try:
         for records in ("1", "7", "10000"):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
-            assert [[r["file_id"], r["line_no"], r["n_lines"], r["message"]] for r in log_entries(df, block_lines=50).orderBy("file_id", "line_no").collect()] == want
+            assert [[r["file_id"], r["line_no"], r["n_lines"], r["message"]] for r in log_entries(df, block_lines=50, blocks_together=3).orderBy("file_id", "line_no").collect()] == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
-@pytest.mark.parametrize("block", [2, 3, 8192])
-def test_entries(spark, block):
+@pytest.mark.parametrize("block,together", [(2, 2), (3, 1024), (8192, 1)])
+def test_entries(spark, block, together):
     head = "May  9 16:38:41 h p[1]: "
     lines = ["lost", head + "a", "more", "", "more\r", head + "b", *[f"m{i}" for i in range(9)], "<31>" + head + "c", "x"]
     data = [(1, i + 1, s) for i, s in enumerate(lines)] + [(1, 2, lines[1]), (1, 9, lines[8])] + [(2, 1, "nothing"), (2, 2, "at all"), (None, 1, head), (1, None, head), (1, 99, None)]
@@ -342,7 +342,7 @@ def test_entries(spark, block):
         (1, 6, 10, at, "", "p", "b\n" + "\n".join(f"m{i}" for i in range(9))),
         (1, 16, 2, at, "DEBUG", "p", "c\nx"),
     ]
-    assert rows(log_entries(df, block_lines=block)) == sorted(want, key=repr)
+    assert rows(log_entries(df, block_lines=block, blocks_together=together)) == sorted(want, key=repr)
     assert log_entries(df.limit(0)).collect() == []
 
 
